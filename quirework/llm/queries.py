@@ -21,6 +21,15 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packing import pack
+
+    out = pack(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), ranks_file=tokenizer("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN, tiers=(2048, 1024, 512, 256), eos=1)
+    return out.withColumnRenamed("id", "doc_id")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import token_counts
 
@@ -28,6 +37,21 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op4_token_counts)}
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import BASE, scan
+
+    found = scan(documents(spark, sf_dir))
+    base = [r.kind for r in BASE]
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    kept = F.filter("spans", lambda s: s["kind"].isin(base))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        *(F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in base),
+        F.sha2(listed(kept), 256).alias("base_sha256"),
+        listed(F.col("spans")).alias("spans"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op2_simhash, op3_packing, op4_token_counts, op10_secrets)}
 
 ORACLES: dict[str, str] = {}
