@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import documents
+from ._common import Scratch, documents
 
 
 def tokenizer(name: str) -> str:
@@ -37,6 +37,14 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import QualityModel
+
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = QualityModel(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), Scratch(spark, "quality"))
+    return model.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secret_scan import BASE, scan
 
@@ -52,6 +60,6 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_packing, op4_token_counts, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op2_simhash, op3_packing, op4_token_counts, op5_quality, op10_secrets)}
 
 ORACLES: dict[str, str] = {}
