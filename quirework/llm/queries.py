@@ -45,6 +45,21 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import mark_lines, removed
+
+    marked = mark_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    firsts = F.transform(F.filter("_qw_lines", lambda x: ~x["kept"]), lambda x: x["first_id"])
+    return marked.select(
+        "doc_id",
+        F.col("_qw_n_lines").alias("n_lines"),
+        F.size(removed()).cast("long").alias("n_removed"),
+        removed().alias("removed"),
+        F.coalesce(F.sort_array(F.array_distinct(firsts)), F.array().cast("array<bigint>")).alias("first_docs"),
+        F.coalesce(F.transform("_qw_lines", lambda x: x["class"]), F.array().cast("array<bigint>")).alias("classes"),
+    )
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secret_scan import BASE, scan
 
@@ -60,6 +75,6 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_packing, op4_token_counts, op5_quality, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op2_simhash, op3_packing, op4_token_counts, op5_quality, op7_line_dedup, op10_secrets)}
 
 ORACLES: dict[str, str] = {}
