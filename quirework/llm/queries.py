@@ -14,6 +14,15 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, score
+
+    docs = documents(spark, sf_dir)
+    out = score(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    held = F.crc32(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
+    return out.select(F.col("id").alias("doc_id"), held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import hex16, near_duplicates
 
@@ -65,16 +74,17 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = scan(documents(spark, sf_dir))
     base = [r.kind for r in BASE]
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     kept = F.filter("spans", lambda s: s["kind"].isin(base))
     return found.select(
         F.col("id").alias("doc_id"),
-        *(F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in base),
+        *map(count, base),
         F.sha2(listed(kept), 256).alias("base_sha256"),
         listed(F.col("spans")).alias("spans"),
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_packing, op4_token_counts, op5_quality, op7_line_dedup, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_packing, op4_token_counts, op5_quality, op7_line_dedup, op10_secrets)}
 
 ORACLES: dict[str, str] = {}
