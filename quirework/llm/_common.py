@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 SPACE_RE = "[\\x20\\x09-\\x0D]+"
 #: The same characters, one by one.
 SPACE_CHARS = " \t\n\x0b\x0c\r"
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,9 +56,13 @@ class Scratch:
         return f"{self.root}/{tag}"
 
     def save(self, df: DataFrame, tag: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(tag))
-        gc.collect()  # what was shuffled for this table can go now
-        self.spark.sparkContext._jvm.System.gc()
+        """Writes a table and reads it back. What was shuffled for it goes at once, not when garbage happens to be collected."""
+        before = self.spark.conf.get(_CLEAN_UP, None)
+        self.spark.conf.set(_CLEAN_UP, "true")
+        try:
+            df.write.mode("overwrite").parquet(self.path(tag))
+        finally:
+            self.spark.conf.set(_CLEAN_UP, before) if before is not None else self.spark.conf.unset(_CLEAN_UP)
         return self.spark.read.schema(df.schema).parquet(self.path(tag))
 
     def drop(self, tag: str) -> None:

@@ -36,7 +36,7 @@ def index_keys(line: Column, n: Column, tau: int) -> Column:
 
 
 def probe_keys(line: Column, n: Column, tau: int) -> Column:
-    """Array with the keys of all substrings that may equal a segment of a line that is shorter by 0 .. tau.
+    """Array with the keys of all substrings that may equal a segment of a line that is shorter by 0 .. tau; null for none.
 
     Multi-match-aware: for segment i (from 0) and a length shorter by d, the start may move by i to the left at most
     and by the edits that then remain to the right, seen from either end of the line.
@@ -46,7 +46,7 @@ def probe_keys(line: Column, n: Column, tau: int) -> Column:
         for i, (s, k) in enumerate(segments(n - d, tau + 1)):
             left, right = max(-i, d - (tau - i)), min(i, d + (tau - i))
             keys += [F.when((n - d >= tau + 1) & (s + move >= 0) & (s + move + k <= n), F.xxhash64(F.lit(i), (n - d).cast("int"), F.substring(line, s + move + 1, k))) for move in range(left, right + 1)]
-    return F.array_compact(F.array(*keys))
+    return F.array(*keys)
 
 
 def sketch(line: Column) -> Column:
@@ -114,7 +114,7 @@ def edit_links(lines: DataFrame, scratch: Scratch, tau: int = 2) -> DataFrame:
     """
     sized = lines.withColumn("n", F.length("line")).where(F.col("n") > tau)
     index = sized.select("id", "sketch", F.explode(index_keys(F.col("line"), F.col("n"), tau)).alias("key"))
-    probe = sized.select("id", "sketch", F.explode(probe_keys(F.col("line"), F.col("n"), tau)).alias("key"))
+    probe = sized.select("id", "sketch", F.explode(probe_keys(F.col("line"), F.col("n"), tau)).alias("key")).where("key is not null")
     p, x = probe.alias("p"), index.alias("x")
     near = shorter_by(F.col("p.sketch"), F.col("x.sketch"))
     # Of two lines of one length the one with the larger id probes
