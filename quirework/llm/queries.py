@@ -54,6 +54,14 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import TARGETS, copies, mix, quality_domains
+
+    rows, domains, _ = mix(documents(spark, sf_dir), quality_domains(spark.read.parquet(f"{sf_dir}/labels.parquet")), TARGETS, ["doc_id"])
+    shares = F.map_from_arrays(F.array(*map(F.lit, domains)), F.transform("_qw_posteriors", lambda p: p / 100.0))
+    return rows.select("doc_id", F.col("_qw_tokens").alias("n_tokens"), shares.alias("posteriors"), F.round("_qw_rate", 6).alias("rate"), copies().alias("copies"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import mark_lines, removed
 
@@ -85,6 +93,6 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_packing, op4_token_counts, op5_quality, op7_line_dedup, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_packing, op4_token_counts, op5_quality, op6_mixing, op7_line_dedup, op10_secrets)}
 
 ORACLES: dict[str, str] = {}
