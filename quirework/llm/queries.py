@@ -77,6 +77,26 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import search
+
+    asked = spark.read.parquet(f"{sf_dir}/benchmark.parquet").where("item_id % 20 = 0")
+    out = search(documents(spark, sf_dir), asked.select(F.col("item_id").alias("query_id"), "text"), k=10)
+    return out.withColumnRenamed("id", "doc_id")
+
+
+OP8_SQL = r"""
+WITH cut AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+stats AS (SELECT count(*) AS n, sum(len(w))::DOUBLE / count(*) AS average FROM cut),
+asked AS (SELECT item_id AS query_id, w AS term, count(*) AS times FROM (SELECT item_id, unnest(list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS w FROM benchmark WHERE item_id % 20 = 0) GROUP BY ALL),
+tf AS (SELECT doc_id, len, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS len, unnest(w) AS term FROM cut) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+idf AS (SELECT term, ln(1.0::DOUBLE + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) AS idf FROM (SELECT term, count(*)::DOUBLE AS df FROM tf GROUP BY term), stats),
+impact AS (SELECT doc_id, term, floor(1e6::DOUBLE * idf * tf::DOUBLE * 2.2::DOUBLE / (tf::DOUBLE + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / average)) + 0.5::DOUBLE)::BIGINT AS impact FROM tf JOIN idf USING (term), stats),
+scored AS (SELECT query_id, doc_id, sum(times * impact)::BIGINT AS score FROM impact JOIN asked USING (term) GROUP BY ALL)
+SELECT query_id, rank, doc_id, score FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored) WHERE rank <= 10
+"""
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secret_scan import BASE, scan
 
@@ -93,6 +113,6 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_packing, op4_token_counts, op5_quality, op6_mixing, op7_line_dedup, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_packing, op4_token_counts, op5_quality, op6_mixing, op7_line_dedup, op8_topk, op10_secrets)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_topk": OP8_SQL}
