@@ -122,11 +122,11 @@ def rate(posteriors: Column, steps: list[list[float]], pull: float) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(len(steps) - 1)), F.lit(1.0), step)
 
 
-def fit_rates(members: DataFrame, targets: list[float], pull: float = 1e-3, rounds: int = 25, close: float = 1e-4) -> list[list[float]]:
+def fit_rates(members: DataFrame, targets: list[float], pull: float = 0.02, rounds: int = 25, close: float = 1e-4) -> list[list[float]]:
     """Descent steps for ``members(posteriors, n_tokens)``; targets are shares of all tokens by domain.
 
-    Errors are relative to what a domain has, so that small domains are met as fast as large ones. Domains without any
-    expected tokens can't be met and are left out.
+    Errors are relative to what a domain has or shall have, so that small domains are met as fast as large ones. Domains
+    without any expected tokens can't be met and are left out.
     """
     held = members.groupBy("posteriors").agg(F.sum("n_tokens").alias("n_tokens")).cache()
     steps: list[list[float]] = []
@@ -142,7 +142,7 @@ def fit_rates(members: DataFrame, targets: list[float], pull: float = 1e-3, roun
             aim = np.array(targets) * total
             if not total:
                 break
-        error = np.where(first > 0, (got - aim) / np.maximum(first, 1e-9), 0.0)
+        error = np.where(first > 0, (got - aim) / np.maximum(np.maximum(first, aim), 1e-9), 0.0)
         if np.abs((got - aim)[first > 0]).max() <= close * total:
             break
         steps.append([float(f"{e:.9g}") for e in error])
@@ -150,7 +150,7 @@ def fit_rates(members: DataFrame, targets: list[float], pull: float = 1e-3, roun
     return steps
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], carry: list[str], pull: float = 1e-3) -> tuple[DataFrame, list[str], list[float]]:
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], carry: list[str], pull: float = 0.02) -> tuple[DataFrame, list[str], list[float]]:
     """(rows, domains, their targets): the columns ``carry`` of ``docs(doc_id, text, ...)``, _qw_tokens, _qw_posteriors and _qw_rate.
 
     ``targets`` are weights by domain, scaled to one over the domains that the labelled table has; a domain without a
@@ -180,7 +180,7 @@ def copies() -> Column:
 
 
 #: Weights by domain of the registered query and of the pipeline.
-TARGETS = {"clean": 0.90, "toxic": 0.07, "junk": 0.03}
+TARGETS = {"clean": 0.93, "toxic": 0.06, "junk": 0.01}
 
 
 def mixed_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:

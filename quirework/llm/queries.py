@@ -97,6 +97,13 @@ SELECT query_id, rank, doc_id, score FROM (SELECT query_id, doc_id, score, row_n
 """
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan
+
+    docs = documents(spark, sf_dir).select("doc_id", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), "text")
+    return scan(docs)
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secret_scan import BASE, scan
 
@@ -113,6 +120,6 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_packing, op4_token_counts, op5_quality, op6_mixing, op7_line_dedup, op8_topk, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_packing, op4_token_counts, op5_quality, op6_mixing, op7_line_dedup, op8_topk, op9_licenses, op10_secrets)}
 
 ORACLES: dict[str, str] = {"op8_topk": OP8_SQL}
