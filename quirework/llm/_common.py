@@ -30,6 +30,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def settled(df: DataFrame, condition: Column) -> DataFrame:
+    """Rows that meet a condition on computed columns, which are not computed anew below the filter.
+
+    Catalyst would push the condition through the projections and put the columns' expressions into each other, inside
+    lambdas too; it leaves a filter above a projection with a numbering.
+    """
+    return df.withColumn("_qw_row", F.monotonically_increasing_id()).where(condition & (F.col("_qw_row") >= 0)).drop("_qw_row")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a fresh local one where it is unset (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -90,3 +90,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def hex16(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, radius: int = 2) -> DataFrame:
+    """``docs(doc_id, text, ...)`` without all but one document of each group of near-duplicates.
+
+    The smallest doc_id stays, null being the largest; of rows that tie, the one whose texts' hash is smallest, and of
+    rows that repeat all that, one. Texts without words are one group.
+    """
+    key = F.xxhash64("doc_id", "text", F.lit(5))
+    keyed = docs.withColumn("_qw_key", key)
+    slim = keyed.select("_qw_key", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_qw_key").alias("_qw_place"), "text")
+    # The place is the id by which groups are named: its smallest member is the one that stays
+    groups = near_duplicates(slim, "_qw_place", "text", shingle, radius)
+    stay = groups.select(F.col("component_id._qw_key").alias("_qw_key")).distinct()
+    kept = keyed.join(stay, "_qw_key", "left_semi")
+    return kept.dropDuplicates(["_qw_key"]).select(*docs.columns)
