@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,16 +65,29 @@ class Scratch:
     def path(self, tag: str) -> str:
         return f"{self.root}/{tag}"
 
-    def save(self, df: DataFrame, tag: str) -> DataFrame:
-        """Writes a table and reads it back. What was shuffled for it goes at once, not when garbage happens to be collected."""
+    @contextmanager
+    def _cleaned(self) -> Iterator[None]:
         before = self.spark.conf.get(_CLEAN_UP, None)
         self.spark.conf.set(_CLEAN_UP, "true")
         try:
-            df.write.mode("overwrite").parquet(self.path(tag))
+            yield
         finally:
             self.spark.conf.set(_CLEAN_UP, before) if before is not None else self.spark.conf.unset(_CLEAN_UP)
+
+    def save(self, df: DataFrame, tag: str) -> DataFrame:
+        """Writes a table and reads it back. What was shuffled for it goes at once, not when garbage happens to be collected."""
+        with self._cleaned():
+            df.write.mode("overwrite").parquet(self.path(tag))
         return self.spark.read.schema(df.schema).parquet(self.path(tag))
 
+    def save_by(self, df: DataFrame, tag: str, key: str) -> DataFrame:
+        """Like save, but bucketed by a key, so that later joins on the key move only their other side."""
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        name = f"qw_{uuid.uuid4().hex}"
+        with self._cleaned():
+            df.repartition(n, key).write.bucketBy(n, key).option("path", self.path(tag)).saveAsTable(name)
+        return self.spark.table(name)
+
     def drop(self, tag: str) -> None:
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.path(tag))

@@ -14,20 +14,14 @@ from pyspark.sql import functions as F
 
 from ._common import SPACE_CHARS, Scratch, connected_components, let
 
-#: Letters whose counts, up to 255, are compared before a pair is verified.
-SKETCH = "etnaor"
-
-
-def segments(n: int | Column, parts: int) -> list[tuple[Column, Column]]:
-    """(start, length) of the segments of a line of n characters, starts from 0; the last ones are longer by one."""
-    n = F.lit(n) if isinstance(n, int) else n
-    base, longer = F.floor(n / parts).cast("int"), (n % parts).cast("int")
-    out, start = [], F.lit(0)
-    for i in range(parts):
-        size = base + F.when(longer >= parts - i, 1).otherwise(0)
-        out.append((start, size))
-        start = start + size
-    return out
+#: Letters whose counts, modulo 8, are compared before a pair is verified.
+SKETCH = "bcdfgjkmpquvwxyz"
+
+
+def segments(n: Column, parts: int) -> list[tuple[Column, Column]]:
+    """(start, length) of the segments of a line of n characters, starts from 0."""
+    at = [F.lit(0)] + [F.call_function("div", n * i, F.lit(parts)).cast("int") for i in range(1, parts)] + [n]
+    return [(at[i], at[i + 1] - at[i]) for i in range(parts)]
 
 
 def index_keys(line: Column, n: Column, tau: int) -> Column:
@@ -50,27 +44,27 @@ def probe_keys(line: Column, n: Column, tau: int) -> Column:
 
 
 def sketch(line: Column) -> Column:
-    """The counts of six letters, eight bits each, 255 for more, and above them the length modulo 2 ** 15."""
+    """The counts of sixteen letters modulo 8, and above them the length modulo 2 ** 15."""
     n = F.length(line)
-    out = F.shiftleft((n % (1 << 15)).cast("long"), 8 * len(SKETCH))
+    out = F.shiftleft((n % (1 << 15)).cast("long"), 3 * len(SKETCH))
     for k, c in enumerate(SKETCH):
-        count = F.least(n - F.length(F.replace(line, F.lit(c), F.lit(""))), F.lit(255)).cast("long")
-        out = out.bitwiseOR(F.shiftleft(count, 8 * k))
+        out = out.bitwiseOR(F.shiftleft(((n - F.length(F.replace(line, F.lit(c), F.lit("")))) % 8).cast("long"), 3 * k))
     return out
 
 
 def sketches_agree(a: Column, b: Column, tau: int) -> Column:
     """False only if the letter counts rule out tau edits: an edit changes two counts by one at most."""
-    part = lambda x, k: F.shiftrightunsigned(x, 8 * k).bitwiseAND(F.lit(255))
+    part = lambda x, k: F.shiftrightunsigned(x, 3 * k).bitwiseAND(F.lit(7))
     total = F.lit(0)
     for k in range(len(SKETCH)):
-        total = total + F.abs(part(a, k) - part(b, k))
+        apart = F.abs(part(a, k) - part(b, k))
+        total = total + F.least(apart, 8 - apart)
     return total <= 2 * tau
 
 
 def shorter_by(a: Column, b: Column) -> Column:
     """By how much the line of sketch b is shorter than that of a, modulo 2 ** 15."""
-    return (F.shiftrightunsigned(a, 8 * len(SKETCH)) - F.shiftrightunsigned(b, 8 * len(SKETCH)) + (1 << 15)) % (1 << 15)
+    return (F.shiftrightunsigned(a, 3 * len(SKETCH)) - F.shiftrightunsigned(b, 3 * len(SKETCH)) + (1 << 15)) % (1 << 15)
 
 
 def within(a: Column, b: Column, tau: int) -> Column:
@@ -121,9 +115,13 @@ def edit_links(lines: DataFrame, scratch: Scratch, tau: int = 2) -> DataFrame:
     met = p.join(x, (F.col("p.key") == F.col("x.key")) & ((near > 0) | (F.col("p.id") > F.col("x.id"))) & (near <= tau) & sketches_agree(F.col("p.sketch"), F.col("x.sketch"), tau))
     pairs = scratch.save(met.select(F.col("p.id").alias("a"), F.col("x.id").alias("b")).distinct(), "pairs")
     ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    some = scratch.save(lines.select("id", "line").join(ends, "id", "left_semi").select("id", F.regexp_extract_all("line", F.lit("(?s)."), F.lit(0)).alias("chars")), "some")
-    both = pairs.join(some.select(F.col("id").alias("a"), F.col("chars").alias("ca")), "a").join(some.select(F.col("id").alias("b"), F.col("chars").alias("cb")), "b")
-    return both.where(within(F.col("ca"), F.col("cb"), tau)).select("a", "b")
+    some = scratch.save(lines.select("id", "line").join(ends, "id", "left_semi"), "some")
+    both = pairs.join(some.select(F.col("id").alias("a"), F.col("line").alias("la")), "a").join(some.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b")
+    # Spark's own banded distance is compiled and goes first; what it lets through is verified bit-parallel
+    near = both.where(F.levenshtein("la", "lb", tau) >= 0)
+    chars = lambda c: F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0))
+    close = scratch.save(near.select("a", "b", chars(F.col("la")).alias("ca"), chars(F.col("lb")).alias("cb")), "close")
+    return close.where(within(F.col("ca"), F.col("cb"), tau)).select("a", "b")
 
 
 def document_key() -> Column:
@@ -143,7 +141,7 @@ def line_classes(docs: DataFrame, scratch: Scratch, tau: int, least: int) -> Dat
     """(id, id2, class, first): the class of each distinct line and the place (doc_id, key, pos) of its first line."""
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key", "pos")
     folded = _lines(docs, least).groupBy("id", "id2").agg(F.min(place).alias("first"), F.max("line").alias("line"))
-    distinct = scratch.save(folded.withColumn("sketch", sketch(F.col("line"))), "distinct")
+    distinct = scratch.save_by(folded.withColumn("sketch", sketch(F.col("line"))), "distinct", "id")
     parts = scratch.save(connected_components(edit_links(distinct.select("id", "line", "sketch"), scratch, tau), scratch, "lines"), "parts")
     named = distinct.select("id", "id2", "first").join(parts.withColumnRenamed("node", "id"), "id", "left")
     # Only lines with a partner need another's first place
