@@ -1 +1,25 @@
+"""Sources: text, archives and page-description files."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quirework.functions.text import decode_text, file_kind
+
+
+def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """(book_id, path, content, kind) of all files below a folder; book_id is the SHA-1 of the path."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
+    return files.select(F.sha1("path").alias("book_id"), "path", "content", file_kind(F.col("path")).alias("kind"))
+
+
+def read_text_books(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFrame:
+    """(book_id, text, entries) of whole text files."""
+    return read_files(spark, path, pattern).select("book_id", decode_text(F.col("content")).alias("text"), F.array().cast("array<string>").alias("entries"))
+
+
+def html_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, url) of the pages in a folder; contents aren't read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.html").load(path)
+    return files.select("path", F.concat(F.lit("/html/"), F.element_at(F.split("path", "/"), -1)).alias("url"))
