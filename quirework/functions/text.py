@@ -120,7 +120,7 @@ def decode_text(data: Column) -> Column:
     head = F.decode(F.substring(data, 1, 2048), "ISO-8859-1")
     name = F.upper(F.regexp_extract(head, "(?i)(?:encoding|charset)\\s*=\\s*[\"']?([-a-zA-Z0-9_]+)", 1))
     known = F.when(name.isin("GBK", "GB2312", "GB18030"), F.decode(data, "GBK")).when(name.isin("ISO-8859-1", "LATIN1"), F.decode(data, "ISO-8859-1")).when(name.isin("UTF-16"), F.decode(data, "UTF-16"))
-    return F.regexp_replace(F.coalesce(known, F.decode(data, "UTF-8")), "^\\ufeff", "")
+    return F.regexp_replace(F.coalesce(known, F.make_valid_utf8(data.cast("string"))), "^\\ufeff", "")
 
 
 def path_dir(path: Column) -> Column:

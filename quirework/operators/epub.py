@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quirework.functions import text as t
 from quirework.operators import segment
 from quirework.operators.rules import Rules
+from quirework.plans.staging import stage
 from quirework.sources.zipscan import resolve, zip_entries
 
 MIB = 1 << 20
@@ -123,8 +124,8 @@ def _images(chaps: DataFrame, entries: DataFrame, o: Options) -> DataFrame:
     nothing up.
     """
     tags = chaps.select("book_id", "chapter_no", "entry", F.posexplode(F.regexp_extract_all("body", F.lit("(?is)<(?:img|image)\\b[^>]*>"), F.lit(0))).alias("k", "tag")).withColumnRenamed("entry", "doc")
-    tags = tags.withColumn("href", t.pick_image(t.attributes(F.col("tag")))).withColumn("path", t.href_key(t.join_path(t.path_dir(F.col("doc")), F.col("href"))))
-    hit = resolve(tags, entries).join(entries.select("book_id", F.col("name").alias("entry"), F.col("usize").alias("n"), "data"), ["book_id", "entry"], "left").where("entry is not null")
+    tags = tags.withColumn("href", t.let(t.attributes(F.col("tag")), t.pick_image)).withColumn("path", t.href_key(t.join_path(t.path_dir(F.col("doc")), F.col("href"))))
+    hit = resolve(stage(tags), entries).join(entries.select("book_id", F.col("name").alias("entry"), F.col("usize").alias("n"), "data"), ["book_id", "entry"], "left").where("entry is not null")
     url = t.image_url(F.lit(o.image_base), href=F.col("entry")) if o.image_base else F.lit("")
     fits = (F.col("n") <= o.max_image_bytes) if o.max_image_bytes > 0 else F.lit(True)
     asked = (F.col("chapter_no") == o.image_chapter) if o.image_chapter else F.lit(True)
@@ -142,11 +143,11 @@ def _images(chaps: DataFrame, entries: DataFrame, o: Options) -> DataFrame:
 def parse_epub(files: DataFrame, options: Options | None = None) -> dict[str, DataFrame]:
     """books, chapters, toc, images, covers and stats of ``files(book_id, content)``; broken files have an error in books."""
     o = options or Options()
-    entries = zip_entries(files)
-    pkg = packages(entries)
-    items = manifest(pkg)
-    contents = toc(entries, items)
-    order = resolve(spine(pkg, items), entries).where("entry is not null")
+    entries = stage(zip_entries(files))
+    pkg = stage(packages(entries))
+    items = stage(manifest(pkg))
+    contents = stage(toc(entries, items))
+    order = resolve(stage(spine(pkg, items)), entries).where("entry is not null")
     no = F.row_number().over(Window.partitionBy("book_id").orderBy("spine_pos"))
     order = order.withColumn("chapter_no", no)
     if o.max_chapters > 0:
@@ -155,16 +156,16 @@ def parse_epub(files: DataFrame, options: Options | None = None) -> dict[str, Da
     named = contents.groupBy("book_id", F.col("key").alias("entry")).agg(F.min_by("title", "pos").alias("toc_title"))
     docs = docs.join(named, ["book_id", "entry"], "left")
     heading = F.nullif(t.heading_title(F.col("body")), F.lit(""))
-    docs = docs.withColumn("title", F.coalesce(heading, F.nullif("toc_title", F.lit("")), F.concat(F.lit("第"), F.col("chapter_no").cast("string"), F.lit("章"))))
-    docs = docs.withColumn("has_images", F.col("body").rlike("(?i)<(?:img|image)\\b"))
-    images = _images(docs, entries, o)
+    docs = stage(docs).withColumn("title", F.coalesce(heading, F.nullif("toc_title", F.lit("")), F.concat(F.lit("第"), F.col("chapter_no").cast("string"), F.lit("章"))))
+    docs = stage(docs.withColumn("has_images", F.col("body").rlike("(?i)<(?:img|image)\\b")))
+    images = stage(_images(docs, entries, o))
     swaps = images.dropDuplicates(["book_id", "chapter_no", "tag"]).groupBy("book_id", "chapter_no").agg(F.map_from_entries(F.collect_list(F.struct("tag", "new"))).alias("swap"))
     docs = docs.join(swaps, ["book_id", "chapter_no"], "left")
     tokens = F.regexp_extract_all("clean", F.lit("(?s)<[^>]*>|[^<]+|<"), F.lit(0))
     body = F.regexp_replace("body", _NOTE, "") if o.collect_notes else F.col("body")
-    docs = docs.withColumn("clean", F.regexp_replace(body, "(?is)</?svg\\b[^>]*>", ""))
+    docs = stage(docs.withColumn("clean", F.regexp_replace(body, "(?is)</?svg\\b[^>]*>", "")))
     swapped = F.when(F.col("swap").isNull(), F.col("clean")).otherwise(F.array_join(F.transform(tokens, lambda x: F.coalesce(F.try_element_at("swap", x), x)), ""))
-    docs = docs.withColumn("swapped", swapped)
+    docs = stage(docs.withColumn("swapped", swapped))
     css = F.array_join(F.regexp_extract_all("html", F.lit("(?is)<style\\b[^>]*>.*?</style>"), F.lit(0)), "") if o.inline_styles else F.lit("")
     docs = docs.withColumn("content", t.sanitize_html(F.concat(css, t.blockify(t.unwrap_images(F.col("swapped"))))))
     if o.collect_notes:
@@ -174,9 +175,9 @@ def parse_epub(files: DataFrame, options: Options | None = None) -> dict[str, Da
     # A chapter without a body is one whose text is its title; images count as a body
     bare = ~F.col("has_images") & ((t.no_space(text) == "") | (t.no_space(text) == t.no_space(F.col("title"))))
     rows = docs.select("book_id", F.col("chapter_no").cast("long").alias("chapter_no"), "title", F.when(bare, F.col("title")).otherwise(F.concat(F.lit("\u0001"), "content")).alias("content"))
-    none = rows.select("book_id").distinct().withColumn("entries", F.array().cast("array<string>"))
-    merged = segment.merge_title_only(rows, none, o.rules)
-    chapters = merged.withColumn("content", F.regexp_replace("content", "^\u0001", ""))
+    none = pkg.select("book_id").withColumn("entries", F.array().cast("array<string>"))
+    merged = segment.merge_title_only(stage(rows), none, o.rules)
+    chapters = stage(merged).withColumn("content", F.regexp_replace("content", "^\u0001", ""))
     books = metadata(pkg)
     counted = images.groupBy("book_id").agg(F.count_distinct("entry").alias("image_count"), F.count_if(F.col("state") == "inline").alias("inlined_images"), F.sum(F.when(F.col("state") == "inline", F.col("n"))).alias("image_bytes"), F.count_if(F.col("state") == "skipped").alias("skipped_images"))
     stats = entries.groupBy("book_id").agg(F.count("name").alias("entries")).join(order.groupBy("book_id").agg(F.count("*").alias("spine_count")), "book_id", "left").join(chapters.groupBy("book_id").agg(F.count("*").alias("chapter_count")), "book_id", "left").join(counted, "book_id", "left").fillna(0)
@@ -189,9 +190,9 @@ def covers(entries: DataFrame, pkg: DataFrame, items: DataFrame) -> DataFrame:
     by_meta = metas.join(items, ["book_id", "id"]).select("book_id", "path", F.lit(0).alias("rank"), F.lit("manifest").alias("source"))
     by_item = items.where("properties like '%cover-image%'").select("book_id", "path", F.lit(1).alias("rank"), F.lit("manifest").alias("source"))
     page = guide(pkg).where("type = 'cover'").join(pkg.select("book_id", "base"), "book_id").select("book_id", t.href_key(t.join_path(F.col("base"), F.col("href"))).alias("path"))
-    pages = resolve(page, entries).join(entries.select("book_id", F.col("name").alias("entry"), "data"), ["book_id", "entry"])
+    pages = resolve(stage(page), entries).join(entries.select("book_id", F.col("name").alias("entry"), "data"), ["book_id", "entry"])
     tag = F.regexp_extract(t.decode_text(F.col("data")), "(?is)<(?:img|image)\\b[^>]*>", 0)
     by_page = pages.where(tag != "").select("book_id", t.href_key(t.join_path(t.path_dir(F.col("entry")), t.pick_image(t.attributes(tag)))).alias("path"), F.lit(2).alias("rank"), F.lit("page-image").alias("source"))
-    hit = resolve(by_meta.unionByName(by_item).unionByName(by_page), entries).where("entry is not null")
+    hit = resolve(stage(by_meta.unionByName(by_item).unionByName(by_page)), entries).where("entry is not null")
     best = hit.groupBy("book_id").agg(F.min_by(F.struct("entry", "source"), "rank").alias("x")).select("book_id", F.col("x.entry").alias("name"), F.col("x.source").alias("source"))
     return best.join(entries.select("book_id", "name", "usize", "data"), ["book_id", "name"]).select("book_id", F.col("name").alias("href"), t.media_type(F.col("name")).alias("media_type"), F.col("usize").alias("bytes"), "source", "data")

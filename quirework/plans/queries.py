@@ -310,3 +310,69 @@ NAV = '<nav><ol><li><a href="1.xhtml">One</a><ol><li><a href="2.xhtml">Two &amp;
 def nav_toc(spark, sf_dir):
     rows = spark.createDataFrame([(NAV,)], "html string").select(F.explode(segment.nav_levels(F.col("html"))).alias("a"))
     return rows.select(F.col("a.pos").cast("long").alias("pos"), F.col("a.level").cast("long").alias("level"), t.attribute(F.col("a.tag"), "href").alias("href"), t.clean_title(F.col("a.tag")).alias("title"))
+
+
+@query("""WITH s AS (SELECT source, count(*) FILTER (WHERE n_chars > 15000) AS skipped, count(*) FILTER (WHERE lang = 'en') AS images, sum(n_chars) * 100 AS bytes FROM documents GROUP BY source)
+SELECT source, CASE WHEN skipped > 0 THEN '有 ' || skipped::VARCHAR || ' 张图片未内嵌（已改用按需加载或已跳过）' ELSE '' END || '|' || CASE WHEN bytes > 12 * 1024 * 1024 THEN '已在正文内嵌约 ' || floor(bytes / 1048576.0 + 0.5)::BIGINT::VARCHAR || ' MB 图片，一次性返回全书的接口响应会比较大；按章阅读（/content）不受影响' ELSE '' END AS warnings FROM s WHERE images > 0""")
+def summary_warnings(spark, sf_dir):
+    from quirework.operators.summary import warnings
+
+    s = table(spark, sf_dir, "documents").groupBy("source").agg(F.count_if(F.col("n_chars") > 15000).alias("skipped"), F.count_if(F.col("lang") == "en").alias("images"), (F.sum("n_chars") * 100).alias("bytes")).where("images > 0")
+    s = s.withColumn("w", warnings(F.lit(False), F.col("images"), F.col("images"), F.col("bytes"), F.col("skipped")))
+    first = lambda start: F.coalesce(F.get(F.filter("w", lambda x: x.startswith(start)), F.lit(0)), F.lit(""))
+    return s.select("source", F.concat_ws("|", first("有"), first("已在")).alias("warnings"))
+
+
+@query()
+def epub_chapters(spark, sf_dir):
+    """Archives made of conversations, one a book, parsed again. Not SQL: bytes in, rows out."""
+    from quirework.operators.epub import Options, parse_epub
+
+    return parse_epub(made_files(spark, sf_dir, "epub"), Options(image_mode="none"))["chapters"]
+
+
+@query()
+def pdf_chapters(spark, sf_dir):
+    """Page files made of conversations, a page for each turn, parsed again. Not SQL: bytes in, rows out."""
+    from quirework.operators.pdf import Options, parse_pdf
+
+    return parse_pdf(made_files(spark, sf_dir, "pdf"), Options(image_mode="none"))["chapters"]
+
+
+def made_files(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """(book_id, content): a file for each conversation."""
+    import pandas as pd
+
+    def epub_bytes(parts: list[tuple[str, str]]) -> bytes:
+        import html
+        import io
+        import zipfile
+
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("META-INF/container.xml", '<container><rootfile full-path="b.opf"/></container>')
+            items = "".join(f'<item id="c{i}" href="{i}.xhtml" media-type="application/xhtml+xml"/>' for i in range(len(parts)))
+            refs = "".join(f'<itemref idref="c{i}"/>' for i in range(len(parts)))
+            z.writestr("b.opf", f"<package><metadata><title>Book</title></metadata><manifest>{items}</manifest><spine>{refs}</spine></package>")
+            for i, (role, text) in enumerate(parts):
+                z.writestr(f"{i}.xhtml", f"<html><body><h1>{html.escape(role)} {i + 1}</h1><p>{html.escape(text)}</p></body></html>")
+        return out.getvalue()
+
+    def pdf_bytes(parts: list[tuple[str, str]]) -> bytes:
+        n = len(parts)
+        objects = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [%s] >>" % b" ".join(b"%d 0 R" % (3 + i) for i in range(n))]
+        objects += [b"<< /Type /Page /Contents %d 0 R >>" % (3 + n + i) for i in range(n)]
+        for role, text in parts:
+            body = b"BT " + b" T* ".join(b"<%s> Tj" % x.encode("cp1252", "replace").hex().encode() for x in (role, *text.split("\n"))) + b" ET"
+            objects.append(b"<< /Length %d >>\nstream\n%s\nendstream" % (len(body), body))
+        return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (i, o) for i, o in enumerate(objects, 1))
+
+    make = epub_bytes if kind == "epub" else pdf_bytes
+
+    def run(batches):
+        for b in batches:
+            yield pd.DataFrame({"book_id": b["book_id"], "content": [make([(x["role"], x["text"] or "") for x in parts]) for parts in b["parts"]]})
+
+    c = table(spark, sf_dir, "conversations")
+    turns = c.groupBy(F.col("conv_id").cast("string").alias("book_id")).agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("parts"))
+    return turns.mapInPandas(run, "book_id string, content binary")
