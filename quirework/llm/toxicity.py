@@ -109,19 +109,18 @@ def features(word: np.ndarray) -> np.ndarray:
 class Model:
     weights: np.ndarray = field(default_factory=lambda: np.zeros(SIZE**3, np.float32))
     bias: float = -1.0
-    slope: np.ndarray = field(default_factory=lambda: np.zeros(2))
+    slope: float = 0.0
     offset: float = -3.0
 
-    def evidence(self, texts: list[str]) -> np.ndarray:
-        """By text, the worst word's margin (the bias at least) and the log of one more than all words' excess over -0.5."""
+    def margins(self, texts: list[str]) -> np.ndarray:
+        """The worst word's margin in each text; the bias at least."""
+        out = np.full(len(texts), self.bias, np.float64)
         code, start, stop, doc = words_of(texts)
-        margin = weigh(code, start, stop, self.weights).astype(np.float64) + self.bias
-        worst = np.full(len(texts), self.bias, np.float64)
-        np.maximum.at(worst, doc, margin)
-        return np.stack([worst, np.log1p(np.bincount(doc, np.maximum(margin + 0.5, 0), len(texts)))], 1)
+        np.maximum.at(out, doc, weigh(code, start, stop, self.weights).astype(np.float64) + self.bias)
+        return out
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.evidence(texts) @ self.slope + self.offset, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(texts) + self.offset, -30, 30)))
 
 
 def in_blocks(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
@@ -152,11 +151,11 @@ def fit_machine(z: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1
     return w[:-1], float(w[-1])
 
 
-def fit_link(x: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, float]:
-    """Logistic link with Platt's targets by Newton steps; no slope is ever negative."""
+def fit_link(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
+    """Logistic link with Platt's targets by Newton steps; the slope is never negative."""
     pos, neg = label.sum(), (1 - label).sum()
     t = np.where(label == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))
-    x = np.hstack([x, np.ones((len(x), 1))])
+    x = np.stack([margin, np.ones(len(margin))], 1)
     w, ridge = np.zeros(x.shape[1]), np.full(x.shape[1], 1e-2)
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -164,7 +163,7 @@ def fit_link(x: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, float]:
         w = w - np.clip(step, -1, 1)
         if np.abs(step).max() < 1e-7:
             break
-    return np.maximum(w[:-1], 0), float(w[-1])
+    return max(float(w[0]), 0.0), float(w[1])
 
 
 def labelled_sample(labels: DataFrame, most: int) -> DataFrame:
@@ -227,8 +226,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 6000, stems: int = 96, l
             new = [r.word for r in worst.collect() if r.word not in innocent]
             innocent.update(new)
             marks = marks + new[: (landmarks - stems) // (rounds - 1)]
-    link = sample.mapInArrow(_evidence_runner(model), "toxic int, worst double, excess double").toPandas()
-    model.slope, model.offset = fit_link(link[["worst", "excess"]].to_numpy(), link["toxic"].to_numpy().astype(float))
+    link = sample.mapInArrow(_margin_runner(model), "toxic int, margin double").toPandas()
+    model.slope, model.offset = fit_link(link["margin"].to_numpy(), link["toxic"].to_numpy().astype(float))
     return model
 
 
@@ -246,11 +245,20 @@ def _stems(bags: DataFrame, bad: int, good: int, most: int) -> list[str]:
     return out
 
 
+def _disguised(word: str) -> list[str]:
+    """A word, given with its ends, with one letter inserted or left out, for each place inside it."""
+    places = range(2, len(word) - 1)
+    return [word[:i] + chr(0x4E00 + 1 + (7 * i + len(word)) % 26) + word[i:] for i in places] + [word[:i] + word[i + 1 :] for i in places if len(word) > 6]
+
+
 def _machine(marks: list[str], guilty: dict[str, int], innocent: list[str]) -> tuple[np.ndarray, float]:
     """The weight of each subsequence, and the bias, of a machine on the landmarks' kernel values."""
     basis = np.stack([features(_codes(m)) for m in marks], 1)
     value, vector = np.linalg.eigh((basis.T @ basis).astype(float))
     white = vector / np.sqrt(np.maximum(value, 1e-2)) @ vector.T
+    known = set(innocent) | set(guilty)
+    disguised = {d: t / len(w) for w, t in sorted(guilty.items(), key=lambda x: (-x[1], x[0]))[:200] for d in _disguised(w) if d not in known}
+    guilty = guilty | disguised
     rows = [*guilty, *innocent]
     z = np.concatenate([_kernel(rows[i : i + 1000], basis) for i in range(0, len(rows), 1000)]).astype(float) @ white
     y = np.array([1.0] * len(guilty) + [-1.0] * len(innocent))
@@ -285,15 +293,14 @@ def _codes(word: str) -> np.ndarray:
     return np.array([ord(c) - 0x4E00 for c in word], np.uint8)
 
 
-def _evidence_runner(model: Model):
-    """Arrow function: text and label to the label and the evidence."""
+def _margin_runner(model: Model):
+    """Arrow function: text and label to the label and the margin."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(0).to_pylist()
             for i, j in in_blocks(texts):
-                x = model.evidence(texts[i:j])
-                yield pa.record_batch([b.column(1).slice(i, j - i), pa.array(x[:, 0]), pa.array(x[:, 1])], names=["toxic", "worst", "excess"])
+                yield pa.record_batch([b.column(1).slice(i, j - i), pa.array(model.margins(texts[i:j]))], names=["toxic", "margin"])
 
     return run
 
