@@ -2,8 +2,8 @@
 
 Every sentence of every text, and every text as a whole, is compared with the templates' sentences and whole texts.
 Document frequencies of the templates' terms are counted over all documents; other terms weigh as terms of no document.
-A text can only reach the least cosine if it holds one of the terms that carry enough of a template's norm (prefix
-filter), so only such texts are cut into sentences. Everything is a DataFrame operation.
+A term counts once in a unit. Units that cannot reach the least cosine, by bounds on their distinct terms, are left out
+before they are cut into rows of terms. Everything is a DataFrame operation.
 """
 
 from __future__ import annotations
@@ -44,8 +44,8 @@ TEMPLATES = (
 )
 #: Names of files that speak for their directory.
 FILE_NAMES = r"(?i)^(licen[cs]e|copying|unlicense)([._-].*)?$"
-#: Terms of a text that as a whole is a licence file rather than a notice.
-FILE_TERMS = 40
+#: Distinct terms of a text that as a whole is a licence file rather than a notice.
+FILE_TERMS = 30
 _CUT = r"\n+|(?<=[.!?:;])\s+"
 
 
@@ -83,17 +83,24 @@ class LicenseIndex:
         df = {r.term: r.n for r in rows.select(F.explode("t").alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()}
         self.idf = {t: math.log((1 + n) / (1 + df.get(t, 0))) + 1 for t in vocabulary}
         self.other = math.log(1 + n) + 1
-        self.vectors = [(name, {t: k * self.idf[t] for t, k in u.items()}) for name, u in self.units]
-        anchors: set[str] = set()
+        self.vectors = [(name, {t: self.idf[t] for t in u}) for name, u in self.units]
+        #: By term, the largest share of a template's squared norm that it has.
+        self.most: dict[str, float] = {}
         for _, v in self.vectors:
-            left = sum(w * w for w in v.values())
-            bound = left * least * least
-            for t, w in sorted(v.items(), key=lambda x: (-x[1], x[0])):
-                if left < bound:
-                    break
-                anchors.add(t)
-                left -= w * w
-        self.anchors = sorted(anchors)
+            norm = sum(w * w for w in v.values())
+            for t, w in v.items():
+                self.most[t] = max(self.most.get(t, 0.0), w * w / norm)
+
+    def may_match(self, terms: Column) -> Column:
+        """False only for distinct terms that can't reach the least cosine.
+
+        Other terms weigh most, so templates' terms must be a large enough part of them all; and what they can share
+        with one template is bounded by each term's largest share.
+        """
+        held = F.array_intersect(terms, F.array(*map(F.lit, self.most)))
+        share = F.create_map(*[F.lit(x) for kv in self.most.items() for x in kv])
+        bound = F.aggregate(held, F.lit(0.0), lambda a, t: a + F.coalesce(F.try_element_at(share, t), F.lit(0.0)))
+        return (F.size(held) >= self.least**2 * F.size(terms)) & (bound >= self.least**2 - 1e-9)
 
     def tables(self, spark: SparkSession) -> tuple[DataFrame, DataFrame]:
         """(term, idf), and (unit, license, term, share): weights over a template's norm."""
@@ -110,14 +117,12 @@ def matches(docs: DataFrame, least: float = 0.75) -> DataFrame:
     spark = docs.sparkSession
     index = LicenseIndex(docs, least)
     idf, shares = index.tables(spark)
-    holds = "(?i)(?<![a-z0-9])(?:" + "|".join(index.anchors) + ")(?![a-z0-9])"
-    some = docs.where(F.col("text").rlike(holds))
-    whole = some.select("key", F.lit(-1).alias("unit"), F.col("text").alias("part"))
-    parts = some.select("key", F.posexplode(F.split("text", _CUT)).alias("unit", "part")).where(F.col("part").rlike(holds))
-    found = whole.union(parts).select("key", "unit", F.explode(_terms(F.col("part"))).alias("term"))
-    tf = found.groupBy("key", "unit", "term").agg(F.count("*").alias("n")).join(F.broadcast(idf), "term", "left")
-    tf = tf.withColumn("w", F.col("n") * F.coalesce("idf", F.lit(index.other)))
-    norms = tf.groupBy("key", "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.sum("n").alias("size"))
+    whole = docs.select("key", F.lit(-1).alias("unit"), F.col("text").alias("part"))
+    parts = docs.select("key", F.posexplode(F.split("text", _CUT)).alias("unit", "part"))
+    found = whole.union(parts).withColumn("terms", F.array_distinct(_terms(F.col("part")))).where(index.may_match(F.col("terms")))
+    tf = found.select("key", "unit", F.explode("terms").alias("term")).join(F.broadcast(idf), "term", "left")
+    tf = tf.withColumn("w", F.coalesce("idf", F.lit(index.other)))
+    norms = tf.groupBy("key", "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.count("*").alias("size"))
     dots = tf.where("idf is not null").join(F.broadcast(shares), "term").groupBy("key", "unit", "template", "license").agg(F.sum(F.col("w") * F.col("share")).alias("dot"))
     scored = dots.join(norms, ["key", "unit"]).withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 9)).where(F.col("cosine") >= least)
     best = scored.groupBy("key", "unit").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("best"), F.max("size").alias("size"))
