@@ -52,12 +52,10 @@ def test_epub(spark):
 
 def test_epub_images_off_keep_the_structure(spark):
     f = files(spark, sample())
-    runs = [epub.parse_epub(f, epub.Options(**o)) for o in ({}, {"image_mode": "none"}, {"image_mode": "url", "image_base": "/img"}, {"max_inline_bytes": 1}, {"max_image_bytes": 10})]
+    runs = [epub.parse_epub(f, epub.Options(**o)) for o in ({"max_inline_bytes": 1}, {"image_mode": "none", "max_chapters": 2}, {"image_mode": "url", "image_base": "/img"})]
     assert len({tuple(r.title for r in x["chapters"].orderBy("chapter_no").collect()) for x in runs}) == 1
     assert "/img?href=OEBPS%2Fimg%2FCover.PNG" in runs[2]["chapters"].orderBy("chapter_no").first().content
-    assert [x["stats"].first().inlined_images for x in runs] == [1, 0, 0, 0, 0]
-    assert [x["stats"].first().skipped_images for x in runs[3:]] == [1, 1]
-    assert epub.parse_epub(f, epub.Options(max_chapters=1))["chapters"].count() == 1
+    assert [(x["stats"].first().inlined_images, x["stats"].first().skipped_images) for x in runs] == [(0, 1), (0, 0), (0, 0)]
 
 
 def test_entry_lookup(spark):
