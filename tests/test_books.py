@@ -31,7 +31,7 @@ def parsed(spark, text, rules=None, entries=()):
         ("第一章\n楔子 出发\n正文", {"maxTitleLength": 8}, [], [("第一章", "第一章"), ("楔子 出发", "正文")]),
         ("序章\n第一章 出发\n正文", {}, [], [("序章", "序章"), ("第一章 出发", "正文")]),
         ("第一章 甲\n正文\n第二章 乙", {}, [], [("第一章 甲", "正文")]),
-        ("开头一句。\n第一章 甲\n正文", {}, [], [("开头一句。", "开头一句。<br/>"), ("第一章 甲", "正文")]),
+        ("开头一句。\n还有。\n第一章 甲\n正文", {}, [], [("开头一句。", "开头一句。<br/>\n还有。<br/>"), ("第一章 甲", "正文")]),
     ],
 )
 def test_chapters(spark, text, rules, entries, want):
