@@ -120,6 +120,8 @@ def matches(docs: DataFrame, least: float = 0.75) -> DataFrame:
     whole = docs.select("key", F.lit(-1).alias("unit"), F.col("text").alias("part"))
     parts = docs.select("key", F.posexplode(F.split("text", _CUT)).alias("unit", "part"))
     found = whole.union(parts).withColumn("terms", F.array_distinct(_terms(F.col("part")))).where(index.may_match(F.col("terms")))
+    # Two aggregates read the few units that are left; without a table each would cut all texts anew
+    found = Scratch(spark, "units").save(found.select("key", "unit", "terms"), "found")
     tf = found.select("key", "unit", F.explode("terms").alias("term")).join(F.broadcast(idf), "term", "left")
     tf = tf.withColumn("w", F.coalesce("idf", F.lit(index.other)))
     norms = tf.groupBy("key", "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.count("*").alias("size"))
