@@ -54,6 +54,41 @@ def test_simhash(spark, odd):
     assert simhash.near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_near_copies(spark, odd):
+    """Against brute force; two-bit balls found few of these pairs."""
+    import random
+
+    from corpus_pipeline import near_dedup
+    from quirework.llm import near_copies
+
+    r = random.Random(5)
+    passage = [f"p{i}" for i in range(30)]
+    texts = [[f"w{r.randrange(400)}" for _ in range(r.randrange(3, 150))] + (passage if i % 3 else []) for i in range(60)]
+    for i in range(120):
+        copy = list(texts[r.randrange(len(texts))])
+        for _ in range(r.choice((0, 1, 1, 2, 3))):
+            copy[r.randrange(len(copy))] = f"w{r.randrange(400)}"
+        texts.append(copy)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    grams = [{tuple(t[k : k + 5]) for k in range(max(1, len(t) - 4))} for t in texts]
+    group, far = list(range(len(rows))), 0
+    fps = [brute_fingerprint(t, 5) for _, t in rows]
+    for a in range(len(rows)):
+        for b in range(a):
+            if 5 * len(grams[a] & grams[b]) >= 4 * len(grams[a] | grams[b]):
+                far += (fps[a] ^ fps[b]).bit_count() > 2
+                group = [group[b] if g == group[a] else g for g in group]
+    assert far > 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    firsts = {}
+    for i, g in enumerate(group):
+        firsts.setdefault(g, i)
+    assert sorted(r.doc_id for r in near_dedup(spark, docs, "").collect()) == sorted(firsts.values())
+    kept = near_copies.one_of_each(odd)
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 5, 6, 7] and kept.columns == odd.columns
+    assert near_copies.one_of_each(odd.limit(0)).count() == 0
+
+
 def test_token_counts(odd):
     model = public_tokenizers.path("piece_bpe_32k.model")
     counter = token_counts.PieceCounter(model)
