@@ -137,12 +137,15 @@ def _lines(docs: DataFrame, least: int) -> DataFrame:
     return cut.withColumn("id", F.xxhash64("line")).withColumn("id2", F.xxhash64(F.lit(1), "line"))
 
 
-def line_classes(docs: DataFrame, scratch: Scratch, tau: int, least: int) -> DataFrame:
-    """(id, id2, class, first): the class of each distinct line and the place (doc_id, key, pos) of its first line."""
+def line_classes(docs: DataFrame, scratch: Scratch, tau: int, least: int, joined: int) -> DataFrame:
+    """(id, id2, class, first): the class of each distinct line and the place (doc_id, key, pos) of its first line.
+
+    Lines shorter than ``joined`` characters are only folded.
+    """
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key", "pos")
     folded = _lines(docs, least).groupBy("id", "id2").agg(F.min(place).alias("first"), F.max("line").alias("line"))
     distinct = scratch.save_by(folded.withColumn("sketch", sketch(F.col("line"))), "distinct", "id")
-    parts = scratch.save(connected_components(edit_links(distinct.select("id", "line", "sketch"), scratch, tau), scratch, "lines"), "parts")
+    parts = scratch.save(connected_components(edit_links(distinct.where(F.length("line") >= joined).select("id", "line", "sketch"), scratch, tau), scratch, "lines"), "parts")
     named = distinct.select("id", "id2", "first").join(parts.withColumnRenamed("node", "id"), "id", "left")
     # Only lines with a partner need another's first place
     firsts = named.where("component is not null").groupBy("component").agg(F.min("first").alias("class_first"))
@@ -154,17 +157,17 @@ def line_classes(docs: DataFrame, scratch: Scratch, tau: int, least: int) -> Dat
     return out
 
 
-def mark_lines(docs: DataFrame, tau: int = 2, least: int = 20) -> DataFrame:
+def mark_lines(docs: DataFrame, tau: int = 2, least: int = 20, joined: int = 20) -> DataFrame:
     """``docs(doc_id, text, ...)`` with _qw_lines (array of pos, class, kept, first_id by pos) and _qw_n_lines.
 
     A line is kept if no line of its class comes earlier, by doc_id and then by place. Lines shorter than ``least``
-    characters are in no class and stay. Rows that repeat an id and its text are one document and are marked alike;
+    characters are in no class and stay; those shorter than ``joined`` are in a class with their exact copies only. Rows that repeat an id and its text are one document and are marked alike;
     of a text under several ids, the first id keeps the lines. Null texts have no lines; null ids come last, by a hash
     of the text. Empty input: empty result. All columns of ``docs`` are carried along.
     """
     scratch = Scratch(docs.sparkSession, "lines")
     slim = docs.select("doc_id", "text")
-    classes = line_classes(slim, scratch, tau, least)
+    classes = line_classes(slim, scratch, tau, least, joined)
     placed = _lines(slim, least).select("key", "pos", "id", "id2").join(classes, ["id", "id2"])
     kept = (F.col("key") == F.col("first.key")) & (F.col("pos") == F.col("first.pos"))
     per = placed.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("pos", "class", kept.alias("kept"), F.col("first.doc_id").alias("first_id")))).alias("_qw_lines"))
@@ -187,8 +190,8 @@ def clean_text() -> Column:
     return F.when(F.size(removed()) == 0, F.col("text")).otherwise(let(F.split("text", "\n"), rest))
 
 
-def dedup_lines(docs: DataFrame, tau: int = 2, least: int = 20) -> DataFrame:
+def dedup_lines(docs: DataFrame, tau: int = 2, least: int = 20, joined: int = 20) -> DataFrame:
     """``docs`` with cleaned texts, without the documents of which nothing but white space is left. See mark_lines."""
-    marked = mark_lines(docs, tau, least).withColumn("_qw_clean", clean_text()).withColumn("_qw_some", F.size(removed()) > 0)
+    marked = mark_lines(docs, tau, least, joined).withColumn("_qw_clean", clean_text()).withColumn("_qw_some", F.size(removed()) > 0)
     left = marked.where(~F.col("_qw_some") | (F.btrim(F.col("_qw_clean"), F.lit(SPACE_CHARS)) != ""))
     return left.withColumn("text", F.col("_qw_clean")).select(*docs.columns)

@@ -65,7 +65,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import mark_lines, removed
 
-    marked = mark_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    marked = mark_lines(documents(spark, sf_dir).select("doc_id", "text"), least=1)
     firsts = F.transform(F.filter("_qw_lines", lambda x: ~x["kept"]), lambda x: x["first_id"])
     return marked.select(
         "doc_id",

@@ -158,6 +158,20 @@ def test_line_dedup(spark, odd):
     assert line_dedup.dedup_lines(odd.limit(0)).count() == 0
 
 
+def test_short_lines(spark, tmp_path):
+    """The query and the pipeline's stage fold exact copies of lines of any length, and only those of short ones."""
+    from corpus_pipeline import line_dedup as stage
+    from quirework.llm.queries import op7_line_dedup
+
+    long = "a line that is long enough to count"
+    rows = [(1, f"Les.\n{long}\nLis."), (2, f" Les. \n\n{long}!\nx"), (3, "x\nnew\nx"), (4, "Les.\nx"), (5, None), (6, "\n \n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.removed for r in op7_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: [], 2: [0, 2], 3: [0, 2], 4: [0, 1], 5: [], 6: []}
+    assert sorted(map(tuple, stage(spark, docs, "").collect())) == [(1, rows[0][1]), (2, "\nx"), (3, "new"), (5, None), (6, "\n \n")]
+
+
 def test_topk(spark, odd):
     import math
 
