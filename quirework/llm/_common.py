@@ -61,6 +61,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.tables: dict[str, str] = {}
 
     def path(self, tag: str) -> str:
         return f"{self.root}/{tag}"
@@ -80,15 +81,20 @@ class Scratch:
             df.write.mode("overwrite").parquet(self.path(tag))
         return self.spark.read.schema(df.schema).parquet(self.path(tag))
 
-    def save_by(self, df: DataFrame, tag: str, key: str) -> DataFrame:
-        """Like save, but bucketed by a key, so that later joins on the key move only their other side."""
+    def save_by(self, df: DataFrame, tag: str, *keys: str) -> DataFrame:
+        """Like save, but bucketed by keys, so that later joins on them move only their other side.
+
+        Rows that an aggregate by the same keys has just dealt out are not shuffled again.
+        """
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        name = f"qw_{uuid.uuid4().hex}"
+        self.tables[tag] = name = f"qw_{uuid.uuid4().hex}"
         with self._cleaned():
-            df.repartition(n, key).write.bucketBy(n, key).option("path", self.path(tag)).saveAsTable(name)
+            df.write.bucketBy(n, *keys).option("path", self.path(tag)).saveAsTable(name)
         return self.spark.table(name)
 
     def drop(self, tag: str) -> None:
+        if name := self.tables.pop(tag, None):
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.path(tag))
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -63,9 +63,9 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .line_dedup import mark_lines, removed
+    from .line_dedup import classes_of_lines, mark_lines, removed
 
-    marked = mark_lines(documents(spark, sf_dir).select("doc_id", "text"), least=1)
+    marked = mark_lines(documents(spark, sf_dir).select("doc_id", "text"))
     firsts = F.transform(F.filter("_qw_lines", lambda x: ~x["kept"]), lambda x: x["first_id"])
     return marked.select(
         "doc_id",
@@ -73,7 +73,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size(removed()).cast("long").alias("n_removed"),
         removed().alias("removed"),
         F.coalesce(F.sort_array(F.array_distinct(firsts)), F.array().cast("array<bigint>")).alias("first_docs"),
-        F.coalesce(F.transform("_qw_lines", lambda x: x["class"]), F.array().cast("array<bigint>")).alias("classes"),
+        classes_of_lines().alias("classes"),
     )
 
 

@@ -153,11 +153,54 @@ def test_line_dedup(spark, odd):
     rows = [(1, f"{a}\n{b}"), (2, f"{a}!\nshort\n\n{b[:-1]}"), (3, f"{a}"), (4, None), (5, "short\nshort"), (3, f"{a}")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(map(tuple, line_dedup.dedup_lines(docs).collect()))
-    assert got == [(1, f"{a}\n{b}"), (2, "short\n"), (4, None), (5, "short\nshort")]
+    assert got == [(1, f"{a}\n{b}"), (2, "short\n"), (4, None)]
     assert line_dedup.dedup_lines(odd).columns == odd.columns and line_dedup.dedup_lines(odd).count() == len(ODD)
+    named = odd.withColumnsRenamed({"key": "id", "pos": "line"}).withColumn("class", F.lit(1)).withColumn("n", F.lit(2)).withColumn("component", F.lit(3))
+    assert line_dedup.dedup_lines(named).columns == named.columns
     assert line_dedup.dedup_lines(odd.limit(0)).count() == 0
 
 
+def brute_edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_edit_components(spark):
+    """Against brute force: mutated lines of three characters and more, and a large group of near copies."""
+    import random
+
+    r = random.Random(3)
+    letters = "etaoin bcé🙂"
+    lines = {"".join(r.choice(letters) for _ in range(r.choice((3, 4, 5, 7, 20, 21, 40)))) for _ in range(40)}
+    lines |= {f"page {i:03d} of the 999 pages of this book" for i in range(0, 1000, 25)}
+    for x in sorted(lines)[:60]:
+        for _ in range(2):
+            y = list(x)
+            for _ in range(r.randrange(1, 5)):
+                at = r.randrange(len(y))
+                y[at : at + r.choice((0, 1))] = r.choice(([], [r.choice(letters)]))
+            lines.add("".join(y))
+    lines = sorted(x for x in lines if len(x) > 2)
+    group = list(range(len(lines)))
+    for i, x in enumerate(lines):
+        for j in range(i):
+            if abs(len(x) - len(lines[j])) <= 2 and group[i] != group[j] and brute_edits(x, lines[j]) <= 2:
+                group = [group[j] if g == group[i] else g for g in group]
+    df = spark.createDataFrame(list(enumerate(lines)), "id long, line string").repartition(3)
+    got = {r.node: r.component for r in line_dedup.edit_components(df, Scratch(spark, "t")).collect()}
+    first = {}
+    for i, g in enumerate(group):
+        first.setdefault(g, i)
+    assert {i: got.get(i, i) for i in range(len(lines))} == {i: first[g] for i, g in enumerate(group)}
+    assert len(first) < len(lines) - 40
+    ids = {r.id for r in line_dedup.candidates(df, 2).collect()}
+    assert ids >= set(got)
+
+
 def test_short_lines(spark, tmp_path):
     """The query and the pipeline's stage fold exact copies of lines of any length, and only those of short ones."""
     from corpus_pipeline import line_dedup as stage
