@@ -10,8 +10,8 @@ WS = "[\\s\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufef
 #: Attributes that lazy loaders put an image's address in.
 LAZY = ("data-src", "data-original", "data-lazy-src", "data-echo", "data-url")
 #: Media types by extension.
-IMAGE_TYPES = {"jpg": "image/jpeg", "jpeg": "image/jpeg", "jpe": "image/jpeg", "png": "image/png", "gif": "image/gif", "webp": "image/webp", "bmp": "image/bmp", "svg": "image/svg+xml", "avif": "image/avif", "ico": "image/x-icon", "tif": "image/tiff", "tiff": "image/tiff"}
-ASSET_TYPES = {"css": "text/css", "ttf": "font/ttf", "otf": "font/otf", "woff": "font/woff", "woff2": "font/woff2", "mp3": "audio/mpeg", "m4a": "audio/mp4", "mp4": "video/mp4", "js": "text/javascript", "ncx": "application/x-dtbncx+xml"}
+IMAGE_TYPES = {"jpg": "image/jpeg", "jpeg": "image/jpeg", "jpe": "image/jpeg", "png": "image/png", "gif": "image/gif", "webp": "image/webp", "bmp": "image/bmp", "svg": "image/svg+xml", "avif": "image/avif", "apng": "image/apng", "tif": "image/tiff", "tiff": "image/tiff"}
+ASSET_TYPES = {"woff2": "font/woff2", "woff": "font/woff", "ttf": "font/ttf", "otf": "font/otf", "eot": "application/vnd.ms-fontobject", "css": "text/css", "mp3": "audio/mpeg", "m4a": "audio/mp4", "mp4": "video/mp4", "webm": "video/webm"}
 
 
 def let(value: Column, body) -> Column:

@@ -29,6 +29,7 @@ class Options:
     inline_styles: bool = True
     image_chapter: int = 0
     rules: Rules = field(default_factory=Rules)
+    entries: tuple[str, ...] = ()
 
 
 def _items(doc: Column, tag: str) -> Column:
@@ -174,10 +175,12 @@ def parse_epub(files: DataFrame, options: Options | None = None) -> dict[str, Da
     text = t.html_to_text(F.col("body"))
     # A chapter without a body is one whose text is its title; images count as a body
     bare = ~F.col("has_images") & ((t.no_space(text) == "") | (t.no_space(text) == t.no_space(F.col("title"))))
-    rows = docs.select("book_id", F.col("chapter_no").cast("long").alias("chapter_no"), "title", F.when(bare, F.col("title")).otherwise(F.concat(F.lit("\u0001"), "content")).alias("content"))
-    none = pkg.select("book_id").withColumn("entries", F.array().cast("array<string>"))
-    merged = segment.merge_title_only(stage(rows), none, o.rules)
-    chapters = stage(merged).withColumn("content", F.regexp_replace("content", "^\u0001", ""))
+    rows = stage(docs.select("book_id", F.col("chapter_no").cast("long").alias("chapter_no"), "title", "content", bare.alias("bare"), F.col("entry").alias("href")))
+    flat = rows.select("book_id", "chapter_no", "title", F.when(F.col("bare"), F.col("title")).otherwise("\u0001").alias("content"), "bare")
+    merged = stage(segment.merge_title_only(flat, segment.with_entries(files, o.entries), o.rules))
+    # A merged chapter's content is that of the one with a body; a heading that stays alone keeps its own
+    last = merged.select("book_id", F.col("chapter_no").alias("no"), F.col("title").alias("heading"), "parts", F.element_at("parts", -1).alias("chapter_no"))
+    chapters = last.join(rows.select("book_id", "chapter_no", "content", "href"), ["book_id", "chapter_no"]).select("book_id", F.col("no").alias("chapter_no"), F.col("heading").alias("title"), "content", "href")
     books = metadata(pkg)
     counted = images.groupBy("book_id").agg(F.count_distinct("entry").alias("image_count"), F.count_if(F.col("state") == "inline").alias("inlined_images"), F.sum(F.when(F.col("state") == "inline", F.col("n"))).alias("image_bytes"), F.count_if(F.col("state") == "skipped").alias("skipped_images"))
     stats = entries.groupBy("book_id").agg(F.count("name").alias("entries")).join(order.groupBy("book_id").agg(F.count("*").alias("spine_count")), "book_id", "left").join(chapters.groupBy("book_id").agg(F.count("*").alias("chapter_count")), "book_id", "left").join(counted, "book_id", "left").fillna(0)

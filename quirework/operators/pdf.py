@@ -29,15 +29,26 @@ class Options:
     max_inline_bytes: int = 0
     max_image_bytes: int = 8 << 20
     rules: Rules = field(default_factory=Rules)
+    entries: tuple[str, ...] = ()
 
 
-def scan_rows(files: DataFrame, o: Options) -> DataFrame:
+#: About how many bytes of rows an Arrow batch has.
+_BATCH = 8 << 20
+
+
+def scan_rows(files: DataFrame, o: Options, **limits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from quirework.sources.pdfscan import scan
 
         for b in batches:
             for book, content in zip(b.column(0), b.column(1), strict=True):
-                rows = [{"book_id": book.as_py(), **r} for r in scan(content.as_py(), o.max_pages, o.image_mode == "inline", o.max_image_bytes)]
+                rows, size = [], 0
+                for r in scan(content.as_py(), o.max_pages, o.image_mode == "inline", o.max_image_bytes, **limits):
+                    rows.append({"book_id": book.as_py(), **r})
+                    size += len(r.get("data") or b"") + sum(len(x["text"]) for x in r.get("blocks", ())) + 100
+                    if size > _BATCH:
+                        yield pa.RecordBatch.from_pylist(rows, _ARROW)
+                        rows, size = [], 0
                 yield pa.RecordBatch.from_pylist(rows, _ARROW)
 
     return files.select(F.col("book_id").cast("string"), "content").mapInArrow(run, SCHEMA)
@@ -77,11 +88,13 @@ def parse_pdf(files: DataFrame, options: Options | None = None) -> dict[str, Dat
     each = each.join(shown, ["book_id", "chapter_no", "page"], "left").withColumn("html", F.coalesce(html, t.text_to_html(F.col("text"))))
     ordered = lambda c, sep: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", c))), lambda x: x[c]), sep)
     chaps = each.groupBy("book_id", "chapter_no", "title", "first_page", "end_page").agg(ordered("html", "<br/>").alias("content"), ordered("text", "\n\n").alias("text"), F.sum(F.size("image_names")).alias("image_count"))
-    bare = ((t.strip(F.col("text")) == "") & (F.col("image_count") == 0)) | (t.no_space(F.col("text")) == t.no_space(F.col("title")))
-    flat = chaps.select("book_id", F.col("chapter_no").cast("long").alias("chapter_no"), "title", F.when(bare, F.col("title")).otherwise(F.concat(F.lit("\u0001"), "content")).alias("content"))
-    flat = stage(flat)
-    merged = segment.merge_title_only(flat, flat.select("book_id").distinct().withColumn("entries", F.array().cast("array<string>")), o.rules)
-    chapters = stage(merged).withColumn("content", F.regexp_replace("content", "^\u0001", ""))
+    chaps = stage(chaps.withColumn("chapter_no", F.col("chapter_no").cast("long")))
+    body = t.strip(F.col("text"))
+    bare = ((body == "") & (F.col("image_count") == 0)) | (body == t.strip(F.col("title")))
+    # The text decides whether there is a body; contents are joined to what the merge makes of the chapters
+    flat = chaps.select("book_id", "chapter_no", "title", F.when(body == "", "\u0001").otherwise(body).alias("content"), bare.alias("bare"))
+    merged = stage(segment.merge_title_only(flat, segment.with_entries(files, o.entries), o.rules))
+    chapters = merged_contents(merged, chaps)
     info = rows.where("kind in ('info', 'error')").select("book_id", F.coalesce("title", F.lit("")).alias("title"), F.when(F.col("kind") == "info", F.col("text")).otherwise("").alias("author"), F.col("pos").alias("page_count"), F.when(F.col("kind") == "error", F.col("text")).alias("error"))
     stats = pages.groupBy("book_id").agg(F.count("*").alias("page_count"), F.sum(F.length("text")).alias("text_length"), F.count_if(F.col("text") != "").alias("text_page_count"), F.sum("unmapped").alias("unmapped_codes"), F.sum(F.size("image_names")).alias("image_count"))
     stats = stats.withColumn("scanned", (F.col("page_count") > 0) & (F.col("text_page_count") == 0)).withColumn("image_mode", F.lit(o.image_mode))
@@ -89,6 +102,15 @@ def parse_pdf(files: DataFrame, options: Options | None = None) -> dict[str, Dat
     return {"books": info, "pages": pages, "chapters": chapters, "outlines": rows.where("kind = 'outline'").select("book_id", "pos", "title", "page", "level"), "images": images, "covers": covers(images), "stats": stats}
 
 
+def merged_contents(merged: DataFrame, chaps: DataFrame) -> DataFrame:
+    """(book_id, chapter_no, title, content, first_page, end_page, image_count): what chapters are made of, one after the other."""
+    each = merged.select("book_id", F.col("chapter_no").alias("no"), F.col("title").alias("heading"), F.posexplode("parts").alias("k", "chapter_no"))
+    each = each.join(chaps, ["book_id", "chapter_no"])
+    content = F.array_join(F.filter(F.transform(F.array_sort(F.collect_list(F.struct("k", "content"))), lambda x: x["content"]), lambda x: x != ""), "<br/>")
+    out = each.groupBy("book_id", "no", "heading").agg(content.alias("content"), F.min("first_page").alias("first_page"), F.max("end_page").alias("end_page"), F.sum("image_count").alias("image_count"))
+    return out.withColumnsRenamed({"no": "chapter_no", "heading": "title"})
+
+
 def _shown(each: DataFrame, images: DataFrame, o: Options) -> DataFrame:
     """(book_id, chapter_no, page, mixed): the page's text with its images in stream order, once for a chapter and page's name."""
     first = each.select("book_id", "chapter_no", "page", F.posexplode("blocks").alias("k", "b")).select("book_id", "chapter_no", "page", "k", F.col("b.kind").alias("kind"), F.col("b.text").alias("text"))
@@ -115,6 +137,6 @@ def covers(images: DataFrame) -> DataFrame:
 
 def page_image(files: DataFrame, page: int, name: str | None = None) -> DataFrame:
     """(book_id, name, media_type, data) of one page's image, the first one by default, under wider limits."""
-    images = parse_pdf(files, Options(max_image_bytes=32 << 20))["images"].where(F.col("page") == page)
-    images = images.where(F.col("name") == name) if name else images.where("pos = 0")
-    return images.select("book_id", "name", "media_type", "data")
+    rows = scan_rows(files, Options(max_image_bytes=32 << 20), only_page=page, max_pixels=64 << 20, max_inflated=192 << 20).where("kind = 'image'")
+    rows = rows.where(F.col("title") == name) if name else rows.where("pos = 0")
+    return rows.select("book_id", F.col("title").alias("name"), F.col("text").alias("media_type"), "data")

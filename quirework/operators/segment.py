@@ -150,35 +150,50 @@ def _same(x: Column):
 
 
 def merge_title_only(chaps: DataFrame, books: DataFrame, rules: Rules | None = None) -> DataFrame:
-    """Chapters with headings that have no body drawn into the next one that has, from right to left while one fits."""
+    """Chapters with headings that have no body drawn into the next one that has, from right to left while one fits.
+
+    ``parts`` are the numbers of the chapters that each is made of; its content is the last one's. A column ``bare`` of
+    ``chaps`` says which ones have no body; without it these are those whose content is empty or the title.
+    """
     rules = rules or Rules()
     w = Window.partitionBy("book_id").orderBy("chapter_no")
-    bare = (strip(F.col("content")) == "") | (F.col("content") == F.col("title"))
-    rows = chaps.join(books.select("book_id", "entries"), "book_id").withColumn("bare", bare)
+    rows = chaps.join(books.select("book_id", "entries"), "book_id")
+    if "bare" not in chaps.columns:
+        rows = rows.withColumn("bare", (strip(F.col("content")) == "") | (F.col("content") == F.col("title")))
     # A run is the headings without a body and the chapter with one that follows them
     rows = rows.withColumn("run", F.coalesce(F.sum((~F.col("bare")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     runs = rows.groupBy("book_id", "run").agg(F.array_sort(F.collect_list(F.struct("chapter_no", "title", "content", "bare"))).alias("c"), F.first("entries").alias("entries"))
-    kind = "array<struct<title:string,content:string>>"
-    zero = F.struct(F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("content"), F.lit(True).alias("open"), F.array().cast(kind).alias("done"))
+    kind = "array<struct<title:string,content:string,parts:array<bigint>>>"
+    none = F.lit(None).cast("string")
+    zero = F.struct(none.alias("title"), none.alias("content"), F.array().cast("array<bigint>").alias("parts"), F.lit(True).alias("open"), F.array().cast(kind).alias("done"))
+
+    def item(acc: Column) -> Column:
+        return F.struct(acc["title"].alias("title"), acc["content"].alias("content"), acc["parts"].alias("parts"))
 
     def step(acc: Column, c: Column) -> Column:
         """acc: the chapter that still takes headings, and what is done, last first."""
-        item = lambda t, x: F.array(F.struct(t.alias("title"), x.alias("content")))
-        new = F.struct(c["title"].alias("title"), c["content"].alias("content"), (~c["bare"]).alias("open"), acc["done"].alias("done"))
+        one = F.array(c["chapter_no"].cast("long"))
+        new = F.struct(c["title"].alias("title"), c["content"].alias("content"), one.alias("parts"), (~c["bare"]).alias("open"), acc["done"].alias("done"))
         m = merged_title(c["title"], acc["title"], rules, F.col("entries"))
-        pushed = F.struct(c["title"].alias("title"), c["content"].alias("content"), F.lit(False).alias("open"), F.concat(acc["done"], item(acc["title"], acc["content"])).alias("done"))
-        joined = F.struct(m.alias("title"), acc["content"].alias("content"), (m != acc["content"]).alias("open"), acc["done"].alias("done"))
+        pushed = F.struct(c["title"].alias("title"), c["content"].alias("content"), one.alias("parts"), F.lit(False).alias("open"), F.concat(acc["done"], F.array(item(acc))).alias("done"))
+        joined = F.struct(m.alias("title"), acc["content"].alias("content"), F.concat(one, acc["parts"]).alias("parts"), (m != acc["content"]).alias("open"), acc["done"].alias("done"))
         return F.when(acc["title"].isNull(), new).when(acc["open"] & c["bare"] & (m != ""), joined).otherwise(pushed)
 
-    folded = F.aggregate(F.reverse("c"), zero, step, lambda a: F.reverse(F.concat(a["done"], F.array(F.struct(a["title"].alias("title"), a["content"].alias("content"))))))
+    folded = F.aggregate(F.reverse("c"), zero, step, lambda a: F.reverse(F.concat(a["done"], F.array(item(a)))))
     out = runs.select("book_id", "run", F.posexplode(folded).alias("at", "x"))
     no = F.row_number().over(Window.partitionBy("book_id").orderBy("run", "at"))
-    return out.select("book_id", no.cast("long").alias("chapter_no"), F.col("x.title").alias("title"), F.col("x.content").alias("content"))
+    return out.select("book_id", no.cast("long").alias("chapter_no"), F.col("x.title").alias("title"), F.col("x.content").alias("content"), F.col("x.parts").alias("parts"))
 
 
 def parse_text(books: DataFrame, rules: Rules | None = None) -> DataFrame:
     """(book_id, chapter_no, title, content) of ``books(book_id, text, entries array<string>)``."""
-    return merge_title_only(chapters(books, rules), books, rules)
+    return merge_title_only(chapters(books, rules), books, rules).drop("parts")
+
+
+def with_entries(files: DataFrame, entries: tuple[str, ...] = ()) -> DataFrame:
+    """(book_id, entries): the headings that are expected of each book, by its own column ``entries`` or else for all alike."""
+    given = F.array(*map(F.lit, entries)).cast("array<string>")
+    return files.select(F.col("book_id").cast("string").alias("book_id"), (F.coalesce("entries", given) if "entries" in files.columns else given).alias("entries"))
 
 
 #: What ends a paragraph.

@@ -108,12 +108,16 @@ def ascii_hex(raw: bytes) -> bytes:
     return bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
 
 
-def inflate(raw: bytes) -> bytes:
+def inflate(raw: bytes, most: int = MAX_INFLATED) -> bytes:
+    """The bytes of a stream, as far as a broken one goes; one of more than ``most`` is an error."""
     for bits in (15, -15):
         try:
-            return zlib.decompressobj(bits).decompress(raw, MAX_INFLATED)
+            out = zlib.decompressobj(bits).decompress(raw, most + 1)
         except zlib.error:
             continue
+        if len(out) > most:
+            raise ValueError("deflate stream too large")
+        return out
     raise ValueError("broken deflate stream")
 
 
@@ -207,12 +211,14 @@ class Page:
     number: int
     info: dict
     resources: dict = field(default_factory=dict)
+    box: list[float] | None = None
 
 
 class Document:
     """The objects of a file; of repeated numbers the last counts."""
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes, max_inflated: int = MAX_INFLATED):
+        self.max_inflated = max_inflated
         if b"%PDF-" not in data[:1024]:
             raise ValueError("not a PDF file")
         self.data, self.objects = data, {}
@@ -251,7 +257,7 @@ class Document:
         for i, f in enumerate(self.list(s.info.get("Filter"))):
             try:
                 if f in ("FlateDecode", "Fl"):
-                    data = unpredict(inflate(data), self.dict(parms[i]) if i < len(parms) else {})
+                    data = unpredict(inflate(data, self.max_inflated), self.dict(parms[i]) if i < len(parms) else {})
                 elif f in ("ASCIIHexDecode", "AHx"):
                     data = ascii_hex(data)
                 elif f in ("ASCII85Decode", "A85"):
@@ -268,44 +274,44 @@ class Document:
         """Pages in the tree's order, with what they inherit; without a tree, by object number."""
         out: list[Page] = []
         seen: set[int] = set()
-
-        def walk(ref, resources) -> None:
+        # A stack, as trees may be deeper than calls can be; what is read first lies on top
+        todo = [(x.get("Pages"), {}, None) for x in reversed(list(self.objects.values())) if isinstance(x, dict) and x.get("Type") == "Catalog"]
+        while todo:
+            ref, resources, box = todo.pop()
             if not isinstance(ref, Ref) or ref.number in seen:
-                return
+                continue
             seen.add(ref.number)
             node = self.dict(ref)
-            resources = node.get("Resources", resources)
+            resources, box = node.get("Resources", resources), node.get("MediaBox", box)
             if "Kids" in node:
-                for kid in self.list(node["Kids"]):
-                    walk(kid, resources)
+                todo += [(kid, resources, box) for kid in reversed(self.list(node["Kids"]))]
             elif node:
-                out.append(Page(ref.number, node, self.dict(resources)))
-
-        for x in list(self.objects.values()):
-            if isinstance(x, dict) and x.get("Type") == "Catalog":
-                walk(x.get("Pages"), {})
+                out.append(Page(ref.number, node, self.dict(resources), self.box(box)))
         if not out:
-            out = [Page(n, x, self.dict(x.get("Resources"))) for n, x in sorted(self.objects.items()) if isinstance(x, dict) and x.get("Type") == "Page"]
+            out = [Page(n, x, self.dict(x.get("Resources")), self.box(x.get("MediaBox"))) for n, x in sorted(self.objects.items()) if isinstance(x, dict) and x.get("Type") == "Page"]
         return out
 
+    def box(self, value) -> list[float] | None:
+        """The four numbers of a page's box, if it has them."""
+        found = [self.get(v) for v in self.list(value)]
+        return [float(v) for v in found] if len(found) == 4 and all(isinstance(v, (int, float)) for v in found) else None
+
     def outlines(self) -> list[tuple[str, int | None, int]]:
         """(title, page's object number, level) of bookmarks; named destinations have no page."""
         out: list[tuple[str, int | None, int]] = []
         seen: set[int] = set()
-
-        def walk(ref, level: int) -> None:
-            while isinstance(ref, Ref) and ref.number not in seen:
-                seen.add(ref.number)
-                node = self.dict(ref)
-                dest = self.get(node.get("Dest")) or self.get(self.dict(node.get("A")).get("D"))
-                page = dest[0].number if isinstance(dest, list) and dest and isinstance(dest[0], Ref) else None
-                out.append((text_of(self.get(node.get("Title"))).strip(), page, level))
-                walk(node.get("First"), level + 1)
-                ref = node.get("Next")
-
-        for x in list(self.objects.values()):
-            if isinstance(x, dict) and x.get("Type") == "Catalog":
-                walk(self.dict(x.get("Outlines")).get("First"), 0)
+        todo = [(self.dict(x.get("Outlines")).get("First"), 0) for x in reversed(list(self.objects.values())) if isinstance(x, dict) and x.get("Type") == "Catalog"]
+        while todo:
+            ref, level = todo.pop()
+            if not isinstance(ref, Ref) or ref.number in seen:
+                continue
+            seen.add(ref.number)
+            node = self.dict(ref)
+            dest = self.get(node.get("Dest")) or self.get(self.dict(node.get("A")).get("D"))
+            page = dest[0].number if isinstance(dest, list) and dest and isinstance(dest[0], Ref) else None
+            out.append((text_of(self.get(node.get("Title"))).strip(), page, level))
+            # The bookmarks below come before the next one
+            todo += [(node.get("Next"), level), (node.get("First"), level + 1)]
         return out
 
     def info(self) -> dict[str, str]:
@@ -335,22 +341,26 @@ class Document:
         out = ({"JPXDecode": "image/jp2"}.get(left, "image/jpeg") if left else "image/png", data)
         return out if len(data) <= max_bytes else None
 
-    def read(self, page: Page) -> tuple[list[tuple[str, str]], int]:
-        """(blocks, unmapped codes) of a page; a block is ('text', line) or ('image', name), in stream order."""
+    def read(self, page: Page) -> tuple[list[tuple[str, str]], int, dict[str, Stream]]:
+        """(blocks, unmapped codes, images) of a page; a block is ('text', line) or ('image', name), in stream order.
+
+        Images are told by the names they are drawn by; one of another form that has the same name gets a number.
+        """
         blocks: list[tuple[str, str]] = []
+        images: dict[str, Stream] = {}
         missing = 0
         for part in self.list(page.info.get("Contents")):
             part = self.get(part)
             if isinstance(part, Stream) and (data := self.decoded(part)[0]):
-                missing += Interpreter(self, page.resources, blocks).run(data)
-        return blocks, missing
+                missing += Interpreter(self, page.resources, blocks, images).run(data)
+        return blocks, missing, images
 
 
 class Interpreter:
     """Reads text lines and images from a content stream."""
 
-    def __init__(self, doc: Document, resources: dict, blocks: list, depth: int = 0):
-        self.doc, self.resources, self.blocks, self.depth = doc, resources, blocks, depth
+    def __init__(self, doc: Document, resources: dict, blocks: list, images: dict[str, Stream], depth: int = 0):
+        self.doc, self.resources, self.blocks, self.images, self.depth = doc, resources, blocks, images, depth
         self.fonts: dict[str, Font] = {}
         self.font: Font | None = None
         self.line, self.y = "", None
@@ -419,35 +429,47 @@ class Interpreter:
             return 0
         if x.info.get("Subtype") == "Image":
             self.flush()
-            self.blocks.append(("image", str(name)))
+            known, k = str(name), 1
+            while self.images.setdefault(known, x) is not x:
+                k += 1
+                known = f"{name}#{k}"
+            self.blocks.append(("image", known))
         elif x.info.get("Subtype") == "Form" and self.depth < MAX_FORMS and (data := self.doc.decoded(x)[0]):
             self.flush()
-            return Interpreter(self.doc, self.doc.dict(x.info.get("Resources")) or self.resources, self.blocks, self.depth + 1).run(data)
+            return Interpreter(self.doc, self.doc.dict(x.info.get("Resources")) or self.resources, self.blocks, self.images, self.depth + 1).run(data)
         return 0
 
 
-def scan(content: bytes | None, max_pages: int = 0, images: bool = True, max_image_bytes: int = MAX_IMAGE_BYTES) -> Iterator[dict]:
-    """Rows of one file: kind info, page, image and outline; or one of kind error."""
+#: What hostile or broken files may raise while they are read; such a file, or its page or image, is told, and doesn't end a job.
+BROKEN = (ValueError, TypeError, AttributeError, LookupError, ArithmeticError, RecursionError, struct.error, zlib.error)
+
+
+def scan(content: bytes | None, max_pages: int = 0, images: bool = True, max_image_bytes: int = MAX_IMAGE_BYTES, only_page: int | None = None, max_pixels: int = MAX_PIXELS, max_inflated: int = MAX_INFLATED) -> Iterator[dict]:
+    """Rows of one file: kind info, page, image and outline; or one of kind error. With ``only_page`` other pages aren't read."""
     try:
-        doc = Document(content or b"")
+        doc = Document(content or b"", max_inflated)
         pages = doc.pages()
-    except (ValueError, RecursionError, TypeError, AttributeError) as e:
-        yield {"kind": "error", "text": str(e)}
+        info = doc.info()
+        number = {p.number: i for i, p in enumerate(pages)}
+        marks = [{"kind": "outline", "pos": i, "title": title, "page": number.get(page), "level": level} for i, (title, page, level) in enumerate(doc.outlines())]
+    except BROKEN as e:
+        yield {"kind": "error", "text": str(e) or type(e).__name__}
         return
-    info = doc.info()
     yield {"kind": "info", "title": info.get("Title", ""), "text": info.get("Author", ""), "pos": len(pages)}
-    number = {p.number: i for i, p in enumerate(pages)}
-    for i, (title, page, level) in enumerate(doc.outlines()):
-        yield {"kind": "outline", "pos": i, "title": title, "page": number.get(page), "level": level}
+    yield from marks
     for i, p in enumerate(pages[: max_pages or None]):
+        if only_page is not None and i != only_page:
+            continue
         try:
-            blocks, missing = doc.read(p)
-        except (ValueError, TypeError, RecursionError, AttributeError, IndexError) as e:
+            blocks, missing, drawn = doc.read(p)
+        except BROKEN as e:
             yield {"kind": "page", "page": i, "blocks": [], "text": f"error: {e}"}
             continue
         yield {"kind": "page", "page": i, "blocks": [{"kind": k, "text": x} for k, x in blocks], "level": missing, "pos": p.number}
-        for k, name in enumerate(dict.fromkeys(x for kind, x in blocks if kind == "image")):
-            x = doc.get(doc.dict(p.resources.get("XObject")).get(name))
+        for k, (name, x) in enumerate(drawn.items()):
             w, h = (doc.get(x.info.get(c)) or 0 for c in ("Width", "Height"))
-            found = doc.image(x, max_image_bytes) if images else None
+            try:
+                found = doc.image(x, max_image_bytes, max_pixels) if images else None
+            except BROKEN:
+                found = None
             yield {"kind": "image", "page": i, "pos": k, "title": name, "area": w * h if isinstance(w, int) and isinstance(h, int) else 0, "text": found[0] if found else None, "data": found[1] if found else None}

@@ -1,4 +1,5 @@
 import io
+import random
 import zipfile
 import zlib
 
@@ -121,6 +122,85 @@ def test_pdf_images(spark):
     assert bytes(pdf.page_image(files(spark, build_pdf(objects)), 0).first().data)[:4] == b"\x89PNG"
 
 
+GRAY = stream(bytes(4), b"/Subtype /Image /Width 2 /Height 2 /ColorSpace /DeviceGray /BitsPerComponent 8")
+
+
+def test_pdf_images_of_forms(spark):
+    """Images that a form draws are its own, also if the page has another one of the name."""
+    objects = [
+        b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [3 0 R] /MediaBox [0 0 612 792] >>",
+        b"<< /Type /Page /Contents 4 0 R /Resources << /XObject << /Im0 6 0 R /F 5 0 R /G 8 0 R >> >> >>",
+        stream(b"/Im0 Do /F Do /G Do BT (Text.) Tj ET"),
+        stream(b"/Im0 Do", b"/Subtype /Form /Resources << /XObject << /Im0 7 0 R >> >>"), GRAY, GRAY.replace(b"Width 2", b"Width 1"),
+        stream(b"/Deep Do", b"/Subtype /Form /Resources << /XObject << /Deep 7 0 R >> >>"),
+    ]
+    out = pdf.parse_pdf(files(spark, build_pdf(objects), build_pdf([o.replace(b"/Im0 6 0 R", b"/None 6 0 R") for o in objects])))
+    assert [(r.book_id, r.name, r.area) for r in out["images"].orderBy("book_id", "pos").collect()] == [("b0", "Im0", 4), ("b0", "Im0#2", 2), ("b0", "Deep", 2), ("b1", "Im0", 2), ("b1", "Deep", 2)]
+    assert [r.content.count("<img") for r in out["chapters"].orderBy("book_id").collect()] == [3, 2]
+    from quirework.sources.pdfscan import Document
+
+    assert Document(bytes(build_pdf(objects))).pages()[0].box == [0.0, 0.0, 612.0, 792.0]
+
+
+def test_pdf_deep_trees():
+    n = 1500
+    marks = [b"<< /Title (T%d) /Dest [4 0 R /Fit] %s >>" % (i, b"/First %d 0 R" % (6 + i) if i < n - 1 else b"") for i in range(n)]
+    rows = list(scan(bytes(build_pdf([b"<< /Type /Catalog /Pages 2 0 R /Outlines 3 0 R >>", b"<< /Kids [4 0 R] >>", b"<< /First 5 0 R >>", b"<< /Type /Page >>", *marks]))))
+    assert [(r["title"], r["level"]) for r in rows if r["kind"] == "outline"] == [(f"T{i}", i) for i in range(n)]
+    kids = [b"<< /Kids [%d 0 R] >>" % (3 + i) for i in range(n)]
+    assert [r["kind"] for r in scan(bytes(build_pdf([b"<< /Type /Catalog /Pages 2 0 R >>", *kids, b"<< /Type /Page >>"])))] == ["info", "page"]
+    order = [b"<< /Type /Catalog /Pages 2 0 R /Outlines 3 0 R >>", b"<< /Kids [] >>", b"<< /First 4 0 R >>", b"<< /Title (a) /First 5 0 R /Next 6 0 R >>", b"<< /Title (b) >>", b"<< /Title (c) >>"]
+    assert [r["title"] for r in scan(bytes(build_pdf(order))) if r["kind"] == "outline"] == ["a", "b", "c"]
+
+
+def test_pdf_broken_files():
+    """Cut and changed files give rows, and one of kind error at most."""
+    r = random.Random(7)
+    whole = bytes(build_pdf([*three_pages(), GRAY], b"<< /Root 1 0 R /Info 12 0 R >>"))
+    for i in range(400):
+        data = bytearray(whole[: r.randrange(8, len(whole))] if i % 2 else whole)
+        for _ in range(r.randrange(0, 6)):
+            data[r.randrange(8, len(data))] = r.choice(b"<>[]()/0 R\xff")
+        rows = list(scan(bytes(data)))
+        assert rows and sum(x["kind"] == "error" for x in rows) <= 1
+
+
+def titled(pages, marks, extra=b""):
+    """A file with a page for each (content, image?) and a bookmark for each (title, page)."""
+    n, m = len(pages), len(marks)
+    objects = [b"<< /Type /Catalog /Pages 2 0 R /Outlines 3 0 R >>", b"<< /Kids [%s] /Resources << /XObject << /Im0 %d 0 R >> >> >>" % (b" ".join(b"%d 0 R" % (4 + i) for i in range(n)), 4 + 2 * n + m), b"<< /First %d 0 R >>" % (4 + 2 * n)]
+    objects += [b"<< /Type /Page /Contents %d 0 R >>" % (4 + n + i) for i in range(n)]
+    objects += [stream(b"BT <%s> Tj ET %s" % (text.encode("cp1252").hex().encode(), b"/Im0 Do" if image else b"")) for text, image in pages]
+    objects += [b"<< /Title <FEFF%s> /Dest [%d 0 R /Fit] %s >>" % (t.encode("utf-16-be").hex().encode(), 4 + p, b"/Next %d 0 R" % (5 + 2 * n + i) if i < m - 1 else b"") for i, (t, p) in enumerate(marks)]
+    return build_pdf([*objects, GRAY])
+
+
+def test_pdf_merge_keeps_contents(spark):
+    """A page that has its title only is drawn into the next chapter with its content; one that isn't keeps it."""
+    both = [("\u7b2c\u4e00\u7ae0", 0), ("\u756a\u5916 \u540d", 1)]
+    pages = [("", False), ("Body of it.", True)]
+    got = pdf.parse_pdf(files(spark, titled(pages, both)), pdf.Options())["chapters"].collect()
+    assert [(r.title, r.image_count, r.first_page, r.end_page) for r in got] == [("\u7b2c\u4e00\u7ae0 \u756a\u5916 \u540d", 1, 0, 2)] and "Body of it." in got[0].content
+    # Its text is its title, and it has an image: both are kept by the merge
+    named = titled([("One", True), ("Body.", True)], [("One", 0), ("Two", 1)])
+    merged = pdf.parse_pdf(files(spark, named), pdf.Options(entries=("One Two",)))["chapters"].collect()
+    assert [(r.title, r.image_count, r.content.count("<img"), "One" in r.content) for r in merged] == [("One Two", 2, 2, True)]
+    with_column = files(spark, named).withColumn("entries", F.array(F.lit("One Two")))
+    assert pdf.parse_pdf(with_column)["chapters"].count() == 1
+    alone = pdf.parse_pdf(files(spark, named))["chapters"].orderBy("chapter_no").collect()
+    assert [(r.title, r.image_count, r.content.count("<img")) for r in alone] == [("One", 1, 1), ("Two", 1, 1)] and "One" in alone[0].content
+
+
+def test_epub_merge_keeps_contents(spark):
+    one = "<html><body><h1 class='big'>Alpha</h1></body></html>"
+    two = "<html><body><h2>Beta</h2><p>Words.</p></body></html>"
+    book = sample(**{"OEBPS/text/1.xhtml": one, "OEBPS/text/2.xhtml": two})
+    alone = epub.parse_epub(files(spark, book))["chapters"].orderBy("chapter_no").collect()
+    assert [c.title for c in alone] == ["Alpha", "Beta"] and "<h1 class='big'>Alpha</h1>" in alone[0].content
+    merged = epub.parse_epub(files(spark, book), epub.Options(entries=("Alpha Beta",)))["chapters"].collect()
+    assert [c.title for c in merged] == ["Alpha Beta"] and "Words." in merged[0].content and "big" not in merged[0].content
+
+
 def test_pdf_parts():
     assert Reader(b"<< /A#20b [1 -2.5 (a\\(b\\051) <48656C6C> 3 0 R true] /N null >>").value()["A b"][:4] == [1, -2.5, b"a(b)", b"Hell"]
     assert to_unicode(b"1 beginbfchar <0001> <4E2D> <02> <> endbfchar 1 beginbfrange <10> <12> <0041> <20> <21> [<0061> <0062>] endbfrange") == {1: "中", 2: "", 16: "A", 17: "B", 18: "C", 32: "a", 33: "b"}
