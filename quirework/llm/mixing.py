@@ -1,10 +1,13 @@
 """Mixing to target weights by soft membership.
 
 A classifier that is fitted to a labelled table predicts each document's posteriors over the domains. Projected
-gradient descent then finds document rates, never negative, whose expected token totals by domain come as near to the
-targets as least squares can, while rates stay near one. A document's rate depends on its posteriors alone, and these
-are kept in hundredths, so one descent step is an aggregate over the distinct posteriors, of which there are few
-however large the corpus is.
+gradient steps then find document rates, never negative, whose expected token totals by domain come as near to the
+targets as least squares can, while rates stay near one. A step's gradient depends on a document only through its
+posteriors, so the steps add up to one number for each domain: rates are 1 less the posteriors times these, or 0.
+Each step is scaled by the inverse of the curvature, a Gram matrix of the posteriors of all documents with a rate over 0,
+and taken until the gradient vanishes. Errors and curvature are sums over all documents, by one distributed aggregate
+for each step; the driver holds a few numbers for each domain. Posteriors are kept in hundredths, and documents with the
+same ones are added up first.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,13 +58,12 @@ class DomainClassifier:
     def fit(cls, docs: DataFrame, labelled: DataFrame, most: int = 1000, rounds: int = 300, ridge: float = 1e-4) -> DomainClassifier:
         """``labelled(doc_id, domain)``: at most ``most`` documents of each domain, by hash order, are used."""
         known = labelled.where("doc_id is not null and domain is not null").groupBy("doc_id").agg(F.min("domain").alias("domain"))
-        names = sorted(r[0] for r in known.select("domain").distinct().collect())
-        if not names:
-            return cls(["all"], np.zeros((BUCKETS + 1, 1), np.float32))
-        parts = [known.where(F.col("domain") == d).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for d in names]
-        chosen = parts[0]
-        for p in parts[1:]:
-            chosen = chosen.union(p)
+        counts = known.groupBy("domain").agg(F.count("*").alias("n"))
+        # By hash order; what can't be among the first is left out before the rows of a domain meet
+        order = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+        early = known.join(F.broadcast(counts), "domain").where(order * F.col("n") <= (2.0 * most + 100) * (1 << 30))
+        rank = F.row_number().over(Window.partitionBy("domain").orderBy(order, "doc_id"))
+        chosen = early.withColumn("rank", rank).where(F.col("rank") <= most).select("doc_id", "domain")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -84,6 +86,9 @@ class DomainClassifier:
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             w, last = ahead - len(names) * (x.T @ ((p - y) * cost) + ridge * ahead), w
+        # All domains weighed alike so far; posteriors are those of domains as frequent as they are labelled
+        often = {r.domain: r.n for r in counts.collect()}
+        w[-1] += np.log(np.array([often[d] for d in names], float) / sum(often[d] for d in names) * len(names))
         return cls(names, w)
 
     def posteriors(self, docs: DataFrame, carry: list[str], text_col: str = "text") -> DataFrame:
@@ -105,66 +110,81 @@ class DomainClassifier:
         return docs.select(*carry, F.col(text_col).alias("_qw_text")).mapInArrow(run, schema)
 
 
-def rate(posteriors: Column, steps: list[list[float]], pull: float) -> Column:
-    """The rate after some descent steps, given each step's gradient by domain."""
-    if not steps:
-        return F.lit(1.0)
-    width = len(steps[0])
-    flat = F.split(F.lit(",".join(repr(x) for s in steps for x in s)), ",").cast("array<double>")
-    eta = 1 / (1 + pull)
-
-    def step(r: Column, k: Column) -> Column:
-        g = F.lit(0.0)
-        for i in range(width):
-            g = g + F.get(posteriors, F.lit(i)) / 100.0 * F.get(flat, k * width + i)
-        return F.greatest(F.lit(0.0), r - eta * (g + pull * (r - 1.0)))
+def rate(posteriors: Column, prices: list[float]) -> Column:
+    """The rate of a document, given the sum of the steps for each domain."""
+    off = F.lit(0.0)
+    for i, x in enumerate(prices):
+        off = off + F.get(posteriors, F.lit(i)) / 100.0 * F.lit(x)
+    return F.greatest(F.lit(0.0), 1.0 - off)
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(len(steps) - 1)), F.lit(1.0), step)
 
+def fit_rates(members: DataFrame, targets: list[float], scratch: Scratch, pull: float = 1e-5, rounds: int = 100, close: float = 1e-9) -> tuple[list[float], list[float]]:
+    """The sums of steps, and the expected shares they reach, for ``members(posteriors, n_tokens)``; targets are shares by domain.
 
-def fit_rates(members: DataFrame, targets: list[float], pull: float = 0.02, rounds: int = 25, close: float = 1e-4) -> list[list[float]]:
-    """Descent steps for ``members(posteriors, n_tokens)``; targets are shares of all tokens by domain.
-
-    Errors are relative to what a domain has or shall have, so that small domains are met as fast as large ones. Domains
-    without any expected tokens can't be met and are left out.
+    What is least is half the sum of the squared errors of the shares, each over what its domain has or shall have, and
+    ``pull`` halves of the mean squared distance of the rates from one. Targets that no rates can meet are met as near as
+    that allows; domains without any expected tokens get none. Steps are halved while they don't help; an optimum that
+    isn't reached in ``rounds`` rounds is an error. Without tokens all rates are one.
     """
-    held = members.groupBy("posteriors").agg(F.sum("n_tokens").alias("n_tokens")).cache()
-    steps: list[list[float]] = []
+    held = scratch.save(members.groupBy("posteriors").agg(F.sum("n_tokens").alias("n_tokens")), "groups")
     width = len(targets)
-    first: np.ndarray | None = None
+    total = held.agg(F.sum("n_tokens")).first()[0]
+    if not total:
+        return [0.0] * width, list(targets)
+    p = [F.get("posteriors", F.lit(i)) / 100.0 for i in range(width)]
+    pairs = [(i, j) for i in range(width) for j in range(i + 1)]
+
+    def at(prices: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Expected shares under some rates, and how they fall with the prices."""
+        r = rate(F.col("posteriors"), prices.tolist())
+        w = F.col("n_tokens") / float(total)
+        row = held.agg(*[F.sum(w * r * x) for x in p], *[F.sum(F.when(r > 0, w * p[i] * p[j]).otherwise(0.0)) for i, j in pairs]).first()
+        gram = np.zeros((width, width))
+        for (i, j), x in zip(pairs, row[width:], strict=True):
+            gram[i, j] = gram[j, i] = x
+        return np.array(row[:width]), gram
+
+    aim = np.array(targets)
+    prices = np.zeros(width)
+    got, gram = at(prices)
+    scale = pull * np.maximum(np.maximum(got, aim), 1e-9)
+    left = prices * scale - (got - aim)
     for _ in range(rounds):
-        now = held.select((F.col("n_tokens") * rate(F.col("posteriors"), steps, pull)).alias("m"), "posteriors")
-        row = now.agg(*[F.sum(F.col("m") * F.get("posteriors", F.lit(i)) / 100.0).alias(f"s{i}") for i in range(width)]).first()
-        got = np.array([x or 0.0 for x in row])
-        if first is None:
-            first = got
-            total = got.sum()
-            aim = np.array(targets) * total
-            if not total:
-                break
-        error = np.where(first > 0, (got - aim) / np.maximum(np.maximum(first, aim), 1e-9), 0.0)
-        if np.abs((got - aim)[first > 0]).max() <= close * total:
+        if np.abs(left).max() <= close:
             break
-        steps.append([float(f"{e:.9g}") for e in error])
-    held.unpersist()
-    return steps
+        step = np.linalg.solve(gram + np.diag(scale), left)
+        for k in range(30):
+            new = prices - step / 2**k
+            now, curve = at(new)
+            rest = new * scale - (now - aim)
+            if np.abs(rest).max() <= close or np.linalg.norm(rest) < np.linalg.norm(left):
+                break
+        else:
+            # No shorter step helps at this precision
+            if np.abs(left).max() <= 1e-6:
+                break
+            raise RuntimeError("rates did not settle")
+        prices, got, gram, left = new, now, curve, rest
+    else:
+        raise RuntimeError(f"rates did not settle in {rounds} rounds")
+    return [float(f"{x:.9g}") for x in prices], got.tolist()
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], carry: list[str], pull: float = 0.02) -> tuple[DataFrame, list[str], list[float]]:
-    """(rows, domains, their targets): the columns ``carry`` of ``docs(doc_id, text, ...)``, _qw_tokens, _qw_posteriors and _qw_rate.
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], carry: list[str], pull: float = 1e-5) -> tuple[DataFrame, list[str], list[float], list[float]]:
+    """(rows, domains, targets, shares): the columns ``carry`` of ``docs(doc_id, text, ...)``, _qw_tokens, _qw_posteriors and _qw_rate.
 
     ``targets`` are weights by domain, scaled to one over the domains that the labelled table has; a domain without a
-    target gets none. Null, empty and short texts get the posteriors of an empty histogram and are rated like others;
-    repeated rows and null ids are rows of their own. Without labels all rows are of one domain and rates are one.
-    Empty input: empty result.
+    target gets none. The shares are those expected of the rates. Null, empty and short texts get the posteriors of an
+    empty histogram and are rated like others; repeated rows, ties and null ids are rows of their own. Without labels all
+    rows are of one domain and rates are one. Empty input: empty result. Names that begin with _qw_ are reserved.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
     model = DomainClassifier.fit(docs, labelled)
     aims = [float(targets.get(d, 0.0)) for d in model.domains]
     aims = [a / sum(aims) for a in aims] if sum(aims) > 0 else [1 / len(aims)] * len(aims)
     members = scratch.save(model.posteriors(docs, carry), "members")
-    steps = fit_rates(members.select(F.col("_qw_posteriors").alias("posteriors"), F.col("_qw_tokens").alias("n_tokens")), aims, pull)
-    return members.withColumn("_qw_rate", rate(F.col("_qw_posteriors"), steps, pull)), model.domains, aims
+    prices, shares = fit_rates(members.select(F.col("_qw_posteriors").alias("posteriors"), F.col("_qw_tokens").alias("n_tokens")), aims, scratch, pull)
+    return members.withColumn("_qw_rate", rate(F.col("_qw_posteriors"), prices)), model.domains, aims, shares
 
 
 def quality_domains(labels: DataFrame) -> DataFrame:
@@ -184,6 +204,9 @@ TARGETS = {"clean": 0.93, "toxic": 0.06, "junk": 0.01}
 
 
 def mixed_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """``docs`` with each row as often as its rate says."""
-    rows, _, _ = mix(docs, quality_domains(labels), targets or TARGETS, docs.columns)
+    """``docs`` with each row as often as its rate says: the rate's whole part, and once more by a hash of id and tokens.
+
+    Rows of nulls, ties, repeated rows, empty tables and clashing names are as in mix.
+    """
+    rows, _, _, _ = mix(docs, quality_domains(labels), targets or TARGETS, docs.columns)
     return rows.withColumn("_qw_copy", F.explode(F.array_repeat(F.lit(1), copies()))).select(*docs.columns)

@@ -51,13 +51,13 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = documents(spark, sf_dir).select("doc_id", "text")
     model = QualityModel(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), Scratch(spark, "quality"))
-    return model.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
+    return model.judge(docs, "").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import TARGETS, copies, mix, quality_domains
 
-    rows, domains, _ = mix(documents(spark, sf_dir), quality_domains(spark.read.parquet(f"{sf_dir}/labels.parquet")), TARGETS, ["doc_id"])
+    rows, domains, _, _ = mix(documents(spark, sf_dir), quality_domains(spark.read.parquet(f"{sf_dir}/labels.parquet")), TARGETS, ["doc_id"])
     shares = F.map_from_arrays(F.array(*map(F.lit, domains)), F.transform("_qw_posteriors", lambda p: p / 100.0))
     return rows.select("doc_id", F.col("_qw_tokens").alias("n_tokens"), shares.alias("posteriors"), F.round("_qw_rate", 6).alias("rate"), copies().alias("copies"))
 
