@@ -256,7 +256,8 @@ def line_classes(docs: DataFrame, scratch: Scratch, tau: int) -> DataFrame:
     named = scratch.save(named.drop("times"), "named")
     # Only lines with a partner need another's first place
     firsts = named.where("component is not null").groupBy("component").agg(F.min("first").alias("class_first"))
-    out = named.join(firsts, "component", "left").select("id", "id2", "class", F.coalesce("class_first", "first").alias("first"))
+    linked = named.join(firsts, "component").select("id", "id2", "class", F.col("class_first").alias("first"))
+    out = linked.union(named.where("component is null").select("id", "id2", "class", "first"))
     out = scratch.save(out, "classes")
     for tag in ("distinct", "some", "ids", "named"):
         scratch.drop(tag)
