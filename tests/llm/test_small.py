@@ -140,7 +140,7 @@ def test_quality(spark):
     rows = list(enumerate(good + junk + [None, ""]))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i < 40), 0) for i in range(51)], "doc_id long, quality int, toxic int")
-    got = {r.doc_id: r for r in quality.QualityModel(docs, labels, Scratch(spark, "q"), n_buckets=1024).judge(docs).collect()}
+    got = {r.doc_id: r for r in quality.QualityModel(docs, labels, Scratch(spark, "q"), n_buckets=1024).judge(docs, "").collect()}
     for i, t in rows:
         r = got[i]
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute_counts(t)
@@ -148,6 +148,52 @@ def test_quality(spark):
     assert all(got[i].kept for i in range(40)) and not any(got[i].kept for i in range(40, 53))
 
 
+def test_quality_ratios(spark, tmp_path):
+    """Scores and verdicts against brute force, with counts by n-gram instead of by bucket; odd rows, clashing names and empty tables."""
+    import math
+    import random
+
+    from quirework.llm.queries import op5_quality
+
+    r = random.Random(2)
+    rows = [(i, " ".join(r.choice(("alpha", "beta", "gamma", "delta") if i < 80 else ("omega", "psi", "gamma", "chi")) for _ in range(40)).replace("a b", "a\nb")) for i in range(120)]
+    rows += [(120, rows[3][1]), (3, rows[3][1]), (121, None), (122, ""), (None, rows[5][1]), (123, "alpha beta " * 4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 80), 0) for i in range(120)] + [(None, 1, 0)], "doc_id long, quality int, toxic int")
+    model = quality.QualityModel(docs, labels, Scratch(spark, "q"))
+    got = model.judge(docs).collect()
+
+    def found(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        return [("w", x) for x in w] + [("p", *x) for x in zip(w, w[1:])] + [("w", x[-3:]) for x in w]
+
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    raw, target = Counter(), Counter()
+    for i, t in rows:
+        raw.update(found(t))
+        if i is not None and i < 80 and not held(i):
+            target.update(found(t))
+    share = sum(target.values()) / sum(raw.values())
+    score = lambda t: sum(round(1000 * math.log((target[g] + 5) / (raw[g] * share + 5))) for g in found(t)) / 1000 / max(1, len(found(t)))
+    good = sorted(score(t) for i, t in rows if i is not None and i < 80 and held(i))
+    at = 0.005 * (len(good) - 1)
+    least = good[0] + (good[1] - good[0]) * at - 0.1
+    assert abs(model.threshold - least) < 1e-9 and len(got) == len(rows)
+    for x in got:
+        words, _, _, _, repeats = brute_counts(x.text)
+        assert abs(x._qw_llr - score(x.text)) < 1e-9
+        assert x._qw_kept == (words >= 10 and 100 * repeats <= 20 * words and score(x.text) >= least)
+    assert len({x._qw_llr for x in got if x.text == rows[3][1]}) == 1
+    clash = docs.withColumns({c: F.lit(7.5) for c in ("_t", "_w", "h", "bucket", "llr", "n_words", "kept", "ratio")})
+    again = quality.QualityModel(clash, labels, Scratch(spark, "q")).judge(clash)
+    assert again.columns[:10] == clash.columns and {x.llr for x in again.collect()} == {7.5}
+    none = quality.QualityModel(docs.limit(0), labels, Scratch(spark, "q"))
+    assert none.judge(docs.limit(0)).count() == 0
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    assert op5_quality(spark, str(tmp_path)).columns == ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr"]
+
+
 def test_line_dedup(spark, odd):
     a, b = "a line that is long enough to count", "another line that is long enough too"
     rows = [(1, f"{a}\n{b}"), (2, f"{a}!\nshort\n\n{b[:-1]}"), (3, f"{a}"), (4, None), (5, "short\nshort"), (3, f"{a}")]
@@ -261,7 +307,34 @@ def test_toxicity(spark, odd):
     held = [i for i in range(150) if zlib.crc32(str(i).encode()) % 5 == 0]
     assert all((got[i] >= 0.5) == (i % 3 == 0) for i in held)
     assert toxicity.score(odd, model).count() == len(ODD)
-    assert toxicity.fit(docs, labels.limit(0)).scores(["x"])[0] < 0.5
+    assert toxicity.fit(docs, labels.limit(0)).scores(["x"])[0] < 0.5 and toxicity.score(odd.limit(0), model).count() == 0
+    clash = docs.withColumns({c: F.lit(1) for c in ("id", "score", "toxic", "words", "word", "margin")})
+    again = toxicity.fit(clash, labels)
+    assert {r.id: r.score for r in toxicity.score(clash, again).collect()} == got
+
+
+def test_toxicity_languages(spark):
+    """Gapped and inserted-character insults in two languages; a decoy that clean texts have stays clean."""
+    import random
+
+    r = random.Random(1)
+    plain = {"en": "the people walk around town and talk about many things today".split(), "de": "die leute gehen heute durch die kleine stadt und reden viel zusammen".split()}
+    bad = {"en": ["blockhead", "numskull", "dimwit"], "de": ["dummkopf", "schwachkopf", "trottel"]}
+    rows = []
+    for i in range(240):
+        lang = "en" if i % 2 else "de"
+        text = [r.choice(plain[lang]) for _ in range(25)] + (["kopf"] if i % 5 == 0 else [])
+        if i % 3 == 0:
+            for w in r.sample(bad[lang], 2):
+                text.insert(r.randrange(len(text)), w)
+        rows.append((i, " ".join(text), int(i % 3 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    hidden = ["you block-head and num.skull", "b l o c k h e a d and dimxwit", "ein dumm*kopf und trotttel", "ein t r o t t e l und schwachtkopf", "du dummkqopf, du schwach_kopf"]
+    assert min(model.scores(hidden)) >= 0.5
+    clean = ["die leute reden heute viel im kopf", "many people walk around the town today", "", "\U0001f642", "привет 中文"]
+    assert max(model.scores(clean)) < 0.5
+    assert model.scores(["\U0001d41dimwit numskull"])[0] >= 0.5
 
 
 def test_mixing(spark, odd):
@@ -270,14 +343,108 @@ def test_mixing(spark, odd):
     texts = [(i, ("good words here and more " * 5) if i % 2 else ("BAD!! JUNK!! " * 8)) for i in range(80)]
     docs = spark.createDataFrame(texts, "doc_id long, text string")
     labels = spark.createDataFrame([(i, "good" if i % 2 else "bad") for i in range(40)], "doc_id long, domain string")
-    rows, domains, aims = mixing.mix(docs, labels, {"good": 3.0, "bad": 1.0}, ["doc_id"], pull=1e-4)
+    rows, domains, aims, told = mixing.mix(docs, labels, {"good": 3.0, "bad": 1.0}, ["doc_id"])
     got = rows.collect()
     total = sum(r._qw_tokens for r in got)
     share = [sum(r._qw_rate * r._qw_tokens * r._qw_posteriors[k] / 100 for r in got) / total for k in range(2)]
-    assert domains == ["bad", "good"] and np.allclose(share, aims, atol=0.01) and min(r._qw_rate for r in got) >= 0
+    assert domains == ["bad", "good"] and np.allclose(share, aims, atol=0.001) and np.allclose(share, told) and min(r._qw_rate for r in got) >= 0
     assert mixing.hundredths(np.array([[1 / 3, 1 / 3, 1 / 3]])).sum() == 100
-    rows, domains, _ = mixing.mix(odd, labels.limit(0), {}, odd.columns)
+    rows, domains, _, _ = mixing.mix(odd, labels.limit(0), {}, odd.columns)
     assert domains == ["all"] and {r._qw_rate for r in rows.collect()} == {1.0}
+    clash = docs.withColumns({c: F.lit(1) for c in ("domain", "rate", "posteriors", "n_tokens", "h", "rank")})
+    assert mixing.mixed_documents(clash, spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")).columns == clash.columns
+    assert mixing.mixed_documents(docs.limit(0), spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")).count() == 0
+
+
+@pytest.mark.parametrize("aim", [[0.93, 0.06, 0.01], [0.2, 0.2, 0.6], [0.0, 1.0, 0.0]])
+def test_fit_rates(spark, aim):
+    """Against projected gradient steps of the whole problem, one rate for each document, in numpy; the last aim can't be met."""
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    p = mixing.hundredths(r.dirichlet([1.5, 0.4, 0.2], 60))
+    n = r.integers(1, 400, 60)
+    df = spark.createDataFrame([(x.tolist(), int(k)) for x, k in zip(p, n, strict=True)], "posteriors array<long>, n_tokens long")
+    prices, shares = mixing.fit_rates(df, aim, Scratch(spark, "t"), pull=1e-2)
+    got = np.array([x[0] for x in df.select(mixing.rate(F.col("posteriors"), prices)).collect()])
+    w, q = n / n.sum(), p / 100
+    first = w @ q
+    weight = 1 / np.maximum(np.maximum(first, aim), 1e-9)
+    want = ahead = np.ones(60)
+    # The gradient over each document's tokens; accelerated
+    size = 1 / (1e-2 + (weight * (w[:, None] * q**2).sum(axis=0)).sum())
+    for k in range(20000):
+        slope = q @ (weight * ((w * ahead) @ q - aim)) + 1e-2 * (ahead - 1)
+        new = np.maximum(0, ahead - size * slope)
+        ahead, want = new + min(0.98, k / (k + 3)) * (new - want), new
+    assert np.abs(got - want).max() < 1e-3 and np.allclose((w * got) @ q, shares, atol=1e-6)
+
+
+def brute_licenses(texts, least=0.75):
+    """By text, its matching units' numbers with licence and cosine; every unit against every template."""
+    import math
+
+    from quirework.llm import licenses as lic
+
+    terms = lambda t: re.findall("[a-z0-9]+", t.lower())
+    vocabulary = {t for _, u in lic.units() for t in u}
+    n, df = len(texts), Counter(t for x in texts for t in set(terms(x or "")))
+    idf = lambda t: math.log((1 + n) / (1 + df[t])) + 1 if t in vocabulary else math.log(1 + n) + 1
+    vector = lambda counts: {t: (1 + math.log(k)) * idf(t) for t, k in counts.items()}
+    norm = lambda v: math.sqrt(sum(w * w for w in v.values()))
+    templates = [(name, vector(u)) for name, u in lic.units()]
+    out = []
+    for x in texts:
+        found = {}
+        if x:
+            paragraphs = re.split(r"\n\s*\n", x)
+            for k, part in enumerate([x] + (paragraphs if len(paragraphs) > 1 else []) + re.split(lic._CUT, x)):
+                v = vector(Counter(terms(part)))
+                best = min(((-round(sum(w * v.get(t, 0) for t, w in u.items()) / norm(v) / norm(u), 9), name) for name, u in templates if v), default=(0, ""))
+                if -best[0] >= least:
+                    found[k] = (best[1], -best[0])
+        out.append(found)
+    return out
+
+
+def test_license_cosines(spark):
+    import random
+
+    from quirework.llm import licenses as lic
+
+    r = random.Random(8)
+    plain = "some words of a text about the software and its use by any person in the world with a notice".split()
+    texts = [None, "", "  \n ", "x" * 3000, "Licensed under CC BY 4.0.", "licensed licensed LICENSED under under CC BY 4.0"]
+    for _, t in lic.TEMPLATES:
+        w = t.split()
+        texts += [t, "# " + "\n# ".join(" ".join(w[i : i + 9]) for i in range(0, len(w), 9)), " ".join(r.choice(plain) for _ in range(30)) + ". " + t]
+        texts.append(" ".join(x if r.random() < 0.8 else r.choice(plain) for x in w) + "\n\n" + " ".join(r.choice(plain) for _ in range(12)))
+    want = brute_licenses(texts)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "key long, text string").repartition(3)
+    got = {}
+    for x in lic.matches(df).collect():
+        got.setdefault(x.key, {})[x.unit] = (x.license, x.cosine)
+    for i, found in enumerate(want):
+        mine = got.get(i, {})
+        assert mine.keys() == found.keys(), texts[i]
+        assert all(abs(mine[k][1] - found[k][1]) < 1e-8 and mine[k][0] == found[k][0] for k in found)
+    assert sum(map(len, want)) > 100
+
+
+def test_license_rows(spark, monkeypatch):
+    """Clashing names, repeated rows, ties, empty tables; the salted join gives what the broadcast gives."""
+    from quirework.llm import licenses as lic
+
+    f = [(1, "a/LICENSE", "Licensed under CC BY 4.0."), (2, "a/b/x", "nothing"), (2, "a/b/x", "nothing"), (3, "c/y", None), (None, None, ""), (4, "a/COPYING", "Licensed under CC BY 4.0.")]
+    docs = spark.createDataFrame(f, "doc_id long, path string, text string")
+    names = ("best", "license", "cosine", "key", "unit", "near", "n_units", "size")
+    clash = docs.withColumns({c: F.lit("mine") for c in names})
+    got = sorted(map(str, lic.scan(docs).collect()))
+    out = lic.scan(clash)
+    assert out.columns == ["doc_id", "path", "best", "key", "unit", "near", "size", *lic.RESULT] and sorted(map(str, out.select(*lic.scan(docs).columns).collect())) == got
+    monkeypatch.setattr(lic, "FEW", -1)
+    assert sorted(map(str, lic.scan(docs).collect())) == got and len(got) == len(f)
+    assert lic.scan(docs.limit(0)).count() == 0
 
 
 def test_licenses(spark):
