@@ -25,7 +25,8 @@ def strip(x: Column) -> Column:
 
 def collapse(x: Column) -> Column:
     """Runs of white space to one space, none at the ends."""
-    return strip(F.regexp_replace(x, f"{WS}+", " "))
+    # A single plain space is left alone, as most are
+    return strip(F.regexp_replace(x, f"{WS}{{2,}}|(?! ){WS}", " "))
 
 
 def no_space(x: Column) -> Column:

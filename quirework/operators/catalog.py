@@ -34,15 +34,32 @@ def get_book(books: DataFrame, book_id: int) -> DataFrame:
 def insert_books(books: DataFrame, new: DataFrame) -> DataFrame:
     """The table with new rows: missing values are '', ids go on from the largest one in the order of created_at, stored_path.
 
-    Only new rows are numbered: each partition's rows are numbered on their own, from where those before it end.
+    Only new rows are numbered.
     """
     top = books.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).select("m").scalar()
-    ordered = migrate(new).fillna("", list(COLUMNS)).repartitionByRange("created_at", "stored_path").sortWithinPartitions("created_at", "stored_path")
+    ordered = numbered(migrate(new).fillna("", list(COLUMNS)), F.asc("created_at"), F.asc("stored_path"))
+    return migrate(books).unionByName(migrate(ordered.withColumn("id", top + F.col("_place"))))
+
+
+def numbered(df: DataFrame, *order: Column) -> DataFrame:
+    """Adds _place, from 1, by an order of all rows; no partition holds more than its range of them."""
+    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
     placed = ordered.withColumn("_row", F.monotonically_increasing_id())
     counts = placed.groupBy(F.shiftright("_row", 33).alias("_p")).agg(F.count("*").alias("_n"))
+    # One row for each partition
     before = counts.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))
-    numbered = placed.withColumn("_p", F.shiftright("_row", 33)).join(F.broadcast(before), "_p").withColumn("id", top + F.col("_before") + F.col("_row").bitwiseAND(F.lit((1 << 33) - 1)) + 1)
-    return migrate(books).unionByName(migrate(numbered))
+    joined = placed.withColumn("_p", F.shiftright("_row", 33)).join(F.broadcast(before), "_p")
+    return joined.withColumn("_place", F.col("_before") + F.col("_row").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_p", "_row", "_before")
+
+
+def listed(books: DataFrame) -> DataFrame:
+    """All books with their place in the order of list_books."""
+    return numbered(books, F.desc("created_at"), F.desc("id")).withColumnRenamed("_place", "place")
+
+
+def by_content(files: DataFrame) -> DataFrame:
+    """(name, n, first_id, bytes) of ``files(id, data)``: one for each content, named by its SHA-1; where a store writes it once."""
+    return files.groupBy(F.sha1("data").alias("name")).agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max(F.octet_length("data")).cast("long").alias("bytes"))
 
 
 def resolve_cover(new: Column, old: Column, is_ebook: Column) -> Column:

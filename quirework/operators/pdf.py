@@ -96,12 +96,17 @@ def parse_pdf(files: DataFrame, options: Options | None = None) -> dict[str, Dat
     merged = stage(segment.merge_title_only(flat, segment.with_entries(files, o.entries), o.rules))
     chapters = merged_contents(merged, chaps)
     info = rows.where("kind in ('info', 'error')").select("book_id", F.coalesce("title", F.lit("")).alias("title"), F.when(F.col("kind") == "info", F.col("text")).otherwise("").alias("author"), F.col("pos").alias("page_count"), F.when(F.col("kind") == "error", F.col("text")).alias("error"))
-    stats = pages.groupBy("book_id").agg(F.count("*").alias("page_count"), F.sum(F.length("text")).alias("text_length"), F.count_if(F.col("text") != "").alias("text_page_count"), F.sum("unmapped").alias("unmapped_codes"), F.sum(F.size("image_names")).alias("image_count"))
-    stats = stats.withColumn("scanned", (F.col("page_count") > 0) & (F.col("text_page_count") == 0)).withColumn("image_mode", F.lit(o.image_mode))
+    stats = page_stats(pages).withColumn("image_mode", F.lit(o.image_mode))
     stats = stats.join(chapters.groupBy("book_id").agg(F.count("*").alias("chapter_count")), "book_id", "left").join(rows.where("kind = 'outline'").groupBy("book_id").agg(F.count("*").alias("outline_count")), "book_id", "left").fillna(0, ["chapter_count", "outline_count"])
     return {"books": info, "pages": pages, "chapters": chapters, "outlines": rows.where("kind = 'outline'").select("book_id", "pos", "title", "page", "level"), "images": images, "covers": covers(images), "stats": stats}
 
 
+def page_stats(pages: DataFrame) -> DataFrame:
+    """A book's figures of its ``pages(book_id, page, text, image_names, unmapped)``; a book whose pages have no text is scanned."""
+    stats = pages.groupBy("book_id").agg(F.count("*").alias("page_count"), F.sum(F.length("text")).alias("text_length"), F.count_if(F.col("text") != "").alias("text_page_count"), F.sum("unmapped").alias("unmapped_codes"), F.sum(F.size("image_names")).alias("image_count"))
+    return stats.withColumn("scanned", (F.col("page_count") > 0) & (F.col("text_page_count") == 0))
+
+
 def merged_contents(merged: DataFrame, chaps: DataFrame) -> DataFrame:
     """(book_id, chapter_no, title, content, first_page, end_page, image_count): what chapters are made of, one after the other."""
     each = merged.select("book_id", F.col("chapter_no").alias("no"), F.col("title").alias("heading"), F.posexplode("parts").alias("k", "chapter_no"))

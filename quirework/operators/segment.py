@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirework.functions.text import WS, no_space, strip, title_text
+from quirework.functions.text import WS, collapse, no_space, strip, title_text
 from quirework.operators.rules import Rules
 
 #: Line endings that close a sentence, and marks that begin list items.
@@ -197,7 +197,9 @@ def with_entries(files: DataFrame, entries: tuple[str, ...] = ()) -> DataFrame:
 
 
 #: What ends a paragraph.
-PARAGRAPH_END = "[。！？；：…—”\"'）】》」』〕）\\]\\)．.!?;]\\z"
+PARAGRAPH_END = "。！？；：…—”\"'）】》」』〕）]．.!?;"
+#: A character that isn't white space.
+NOT_BLANK = WS.replace("[", "[^", 1)
 
 
 def paragraphs(lines: DataFrame) -> DataFrame:
@@ -205,8 +207,9 @@ def paragraphs(lines: DataFrame) -> DataFrame:
 
     A line goes on with what came before unless that ends a sentence or has fewer than eight characters so far.
     """
-    clean = lines.withColumn("t", strip(F.regexp_replace("line", f"{WS}+", " "))).where("t <> ''")
-    signal = F.when(F.col("t").rlike(PARAGRAPH_END), True).when(F.length("t") >= 8, False)
+    # The filter asks the line, so that it doesn't work out t a second time
+    clean = lines.where(F.col("line").rlike(NOT_BLANK)).withColumn("t", collapse(F.col("line")))
+    signal = F.when(F.contains(F.lit(PARAGRAPH_END), F.right("t", F.lit(1))), True).when(F.length("t") >= 8, False)
     w = Window.partitionBy("doc_id").orderBy("pos")
     flagged = clean.withColumn("signal", signal)
     start = F.coalesce(F.last("signal", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))

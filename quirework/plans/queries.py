@@ -76,13 +76,6 @@ def chapter_ids(spark, sf_dir):
     return c.select("book_id", "chapter_index", t.chapter_link(F.col("book_id"), F.col("chapter_index")).alias("link"))
 
 
-@query(f"WITH {CHAPTERS} SELECT book_id, string_agg(title, chr(10) ORDER BY chapter_no) AS directory, count(*) AS n_chapters FROM chapters GROUP BY book_id")
-def directory_text(spark, sf_dir):
-    c = segment.chapters(conversation_books(spark, sf_dir))
-    titles = F.transform(F.array_sort(F.collect_list(F.struct("chapter_no", "title"))), lambda x: x["title"])
-    return c.groupBy("book_id").agg(F.array_join(titles, "\n").alias("directory"), F.count("*").alias("n_chapters"))
-
-
 LINES = "lines AS (SELECT doc_id, (unnest(generate_series(1, len(l))) - 1)::BIGINT AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"
 
 
@@ -95,27 +88,6 @@ def txt_ignore_patterns(spark, sf_dir):
     return document_lines(spark, sf_dir).where(~segment.is_ignored(F.col("line"), Rules(ignorePatterns=("licensed under", "^.{0,15}\\z"))))
 
 
-@query("""WITH cut AS (SELECT doc_id, string_split(text, chr(10))[1] AS head, string_split(text, '. ')[1] AS entry FROM documents), bare AS (SELECT *, regexp_replace(head, '{WS}+', '', 'g') AS a, regexp_replace(entry, '{WS}+', '', 'g') AS b FROM cut)
-SELECT doc_id, a <> '' AND b <> '' AND (a = b OR (CASE WHEN length(a) <= length(b) THEN contains(b, a) ELSE contains(a, b) END AND least(length(a), length(b)) >= greatest(4, ceil(greatest(length(a), length(b)) * 0.5)))) AS fits FROM bare""")
-def txt_directory_match(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", segment.fits_entry(F.substring_index("text", "\n", 1), F.array(F.substring_index("text", ". ", 1))).alias("fits"))
-
-
-VERSE = [("序",), ("独立短句",), ("第一回",), ("",), ("",), ("一行独立的话",), ("",), ("",), ("①列表",), ("",), ("",), ("“她说完了。”",), ("没有标点",), ("第二章 开始",)]
-VERSE_SQL = "verse AS (SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, '{v[0]}')" for i, v in enumerate(VERSE)) + ") v(pos, raw))"
-
-
-@query(f"""WITH {VERSE_SQL}, n AS (SELECT pos, raw, lag(raw, 1) OVER w AS p1, lag(raw, 2) OVER w AS p2, lead(raw, 1) OVER w AS n1, lead(raw, 2) OVER w AS n2 FROM verse WINDOW w AS (ORDER BY pos)),
-b AS (SELECT *, regexp_matches(raw, '[。！？；：”"…」』】]$') OR coalesce(n1 = '', false) AS closes FROM n)
-SELECT pos, raw, (coalesce((p1 = '序' OR (starts_with(p1, '序章') AND length(p1) < 20) OR (contains(p1, '卷') AND false)) AND (regexp_matches(p1, '[章回节]$') OR (regexp_matches(raw, '[章回节]$') AND NOT closes)), false) AND NOT closes) OR coalesce(p1 = '' AND p2 = '' AND n1 = '' AND n2 = '' AND length(raw) < 30 AND NOT regexp_matches(raw, '^[【①-⑳]'), false) AS maybe FROM b WHERE raw <> ''""")
-def txt_maybe_title(spark, sf_dir):
-    rows = spark.createDataFrame([(i, v[0]) for i, v in enumerate(VERSE)], "pos long, raw string")
-    w = Window.orderBy("pos")
-    near = rows.select("*", *[F.lag("raw", -i).over(w).alias(f"r{i + 2}") for i in (-2, -1, 1, 2)])
-    return near.where("raw <> ''").select("pos", "raw", segment.maybe_title(F.col("raw"), {i: F.col(f"r{i + 2}") for i in (-2, -1, 1, 2)}, Rules()).alias("maybe"))
-
-
 @query("""SELECT doc_id, regexp_replace(regexp_replace(CASE WHEN length(string_split(text, '.')[1]) < 30 THEN string_split(text, '.')[1] ELSE '第1章[自动]' END, '{WS}+', ' ', 'g'), '^{WS}+|{WS}+$', '', 'g') AS title FROM documents""")
 def auto_titles(spark, sf_dir):
     d = table(spark, sf_dir, "documents").withColumn("content", F.replace("text", F.lit("."), F.lit(segment.BREAK)))
@@ -181,18 +153,6 @@ def page_attrs(spark, sf_dir):
     return tags.select("page_id", F.try_element_at(t.attributes(F.col("tag")), F.lit("href")).alias("href")).where("href is not null")
 
 
-HREFS = [("OEBPS/text", "../images/a.JPG?x=1#f"), ("OEBPS", "./b/./c.xhtml#top"), ("", "/abs/../d.css"), ("a/b", "../../../e.woff2"), ("x", "f.unknown"), ("x/y", "g\\h.png")]
-RESOLVED = ["OEBPS/images/a.JPG?x=1#f", "OEBPS/b/c.xhtml#top", "d.css", "e.woff2", "x/f.unknown", "x/y/g\\h.png"]
-KEYS = ["../images/a.JPG", "b/./c.xhtml", "/abs/../d.css", "../../../e.woff2", "f.unknown", "g/h.png"]
-TYPES = ["image/jpeg", "application/octet-stream", "text/css", "font/woff2", "application/octet-stream", "image/png"]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, '{r}', '{k}', '{m}')" for i, (r, k, m) in enumerate(zip(RESOLVED, KEYS, TYPES))) + ") v(n, path, key, media_type)")
-def href_resolve(spark, sf_dir):
-    rows = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(HREFS)], "n long, base string, href string")
-    return rows.select("n", t.join_path(F.col("base"), F.col("href")).alias("path"), t.href_key(F.col("href")).alias("key"), t.media_type(F.col("href")).alias("media_type"))
-
-
 @query("SELECT page_id, regexp_replace(split_part(split_part(url, '#', 1), '?', 1), '^(\\./)+', '') AS key FROM pages")
 def href_key(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", t.href_key(F.col("url")).alias("key"))
@@ -206,28 +166,6 @@ def inline_budget(spark, sf_dir):
     return d.select("source", F.explode(F.arrays_zip(F.col("d.doc_id").alias("doc_id"), took.alias("took"))).alias("x")).select("source", "x.doc_id", "x.took")
 
 
-@query("WITH o AS (SELECT source AS book_id, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS page FROM documents), n AS (SELECT book_id, count(*) AS n FROM o GROUP BY book_id), m AS (SELECT book_id, page, lead(page) OVER (PARTITION BY book_id ORDER BY page) AS nxt FROM o WHERE page % 7 = 3) SELECT m.book_id, m.page::BIGINT AS first_page, greatest(m.page + 1, coalesce(nxt, n.n))::BIGINT AS end_page, sum(d.n_chars)::BIGINT AS n_chars FROM m JOIN n USING (book_id) JOIN o ON o.book_id = m.book_id AND o.page >= m.page AND o.page < greatest(m.page + 1, coalesce(nxt, n.n)) JOIN documents d ON d.doc_id = o.doc_id GROUP BY ALL")
-def outline_chapters(spark, sf_dir):
-    """Page spans between bookmarks, as an equi-join on exploded pages instead of a range join."""
-    w = Window.partitionBy("book_id").orderBy("doc_id")
-    pages = table(spark, sf_dir, "documents").select(F.col("source").alias("book_id"), "doc_id", "n_chars").withColumn("page", (F.row_number().over(w) - 1).cast("long"))
-    n = pages.groupBy("book_id").agg(F.count("*").alias("n"))
-    marks = pages.where("page % 7 = 3").withColumn("nxt", F.lead("page").over(Window.partitionBy("book_id").orderBy("page"))).join(n, "book_id")
-    spans = marks.select("book_id", F.col("page").alias("first_page"), F.greatest(F.col("page") + 1, F.coalesce("nxt", "n")).alias("end_page"))
-    each = spans.withColumn("page", F.explode(F.sequence("first_page", F.col("end_page") - 1)))
-    return each.join(pages, ["book_id", "page"]).groupBy("book_id", "first_page", "end_page").agg(F.sum("n_chars").alias("n_chars"))
-
-
-@query("SELECT p_brand AS book_id, arg_min(p_partkey, (-p_size, p_partkey)) AS image, max(p_size)::BIGINT AS area FROM part GROUP BY p_brand")
-def cover_argmax(spark, sf_dir):
-    return table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("book_id")).agg(F.min_by("p_partkey", F.struct((-F.col("p_size")).alias("s"), "p_partkey")).alias("image"), F.max("p_size").cast("long").alias("area"))
-
-
-@query("SELECT source AS book_id, count(*) AS page_count, sum(n_chars)::BIGINT AS text_length, count(*) FILTER (WHERE n_chars > 500) AS text_pages, count(DISTINCT lang) AS n_images, count(*) > 0 AND count(*) FILTER (WHERE n_chars > 500) = 0 AS scanned FROM documents GROUP BY source")
-def book_stats(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy(F.col("source").alias("book_id")).agg(F.count("*").alias("page_count"), F.sum("n_chars").alias("text_length"), F.count_if(F.col("n_chars") > 500).alias("text_pages"), F.count_distinct("lang").alias("n_images"), ((F.count("*") > 0) & (F.count_if(F.col("n_chars") > 500) == 0)).alias("scanned"))
-
-
 def order_catalog(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     return catalog.migrate(o.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("Book "), F.col("o_orderkey").cast("string")).alias("title"), F.col("o_orderpriority").alias("author"), F.lit("").alias("description"), F.lit("").alias("cover_img"), F.lit("").alias("source_path"), F.concat(F.lit("/b/"), F.col("o_orderkey").cast("string"), F.when(F.col("o_orderstatus") == "F", ".epub").otherwise(".txt")).alias("stored_path"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("created_at")))
@@ -236,12 +174,6 @@ def order_catalog(spark, sf_dir):
 CATALOG = "cat AS (SELECT o_orderkey AS id, 'Book ' || o_orderkey::VARCHAR AS title, o_orderpriority AS author, '' AS description, '' AS cover_img, '/b/' || o_orderkey::VARCHAR || CASE WHEN o_orderstatus = 'F' THEN '.epub' ELSE '.txt' END AS stored_path, strftime(o_orderdate, '%Y-%m-%d') AS created_at FROM orders)"
 
 
-@query(f"WITH {CATALOG} SELECT id, title, created_at, row_number() OVER (ORDER BY created_at DESC, id DESC) AS place FROM cat ORDER BY place LIMIT 100")
-def catalog_list(spark, sf_dir):
-    top = catalog.list_books(order_catalog(spark, sf_dir)).select("id", "title", "created_at").limit(100)
-    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("created_at"), F.desc("id"))).cast("long"))
-
-
 @query(f"WITH {CATALOG} SELECT id, title, author, stored_path FROM cat WHERE id = 33")
 def catalog_get(spark, sf_dir):
     return catalog.get_book(order_catalog(spark, sf_dir), 33).select("id", "title", "author", "stored_path")
@@ -272,11 +204,6 @@ def catalog_default_cover(spark, sf_dir):
     return b.select("id", catalog.default_cover(F.col("id"), F.col("cover_img"), F.col("stored_path")).alias("cover_img"))
 
 
-@query("SELECT sha1(text) AS name, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY sha1(text)")
-def asset_sha1_dedupe(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy(F.sha1("text").alias("name")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
-
-
 @query("SELECT doc_id, floor(n_chars / 1024 + 0.5)::BIGINT::VARCHAR || ' KB' AS size FROM documents")
 def size_kb(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", t.size_kb(F.col("n_chars")).alias("size"))
@@ -287,92 +214,201 @@ def cover_urls(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("url", t.cover_url(F.col("url")).alias("cover"))
 
 
-IMAGES = ['<img src="a.png" alt="x"/>', '<img src="data:image/gif;base64,R0" data-src="b.jpg">', '<img data-original="c.webp">', '<img src="" xlink:href="d.svg"/>', "<img src='http://x/e.png'>"]
-PICKED = ["a.png", "b.jpg", "c.webp", "d.svg", "http://x/e.png"]
+@query("""WITH s AS (SELECT source, count(*) FILTER (WHERE n_chars > 15000) AS skipped, count(*) FILTER (WHERE lang = 'en') AS images, sum(n_chars) * 100 AS bytes FROM documents GROUP BY source)
+SELECT source, CASE WHEN skipped > 0 THEN '有 ' || skipped::VARCHAR || ' 张图片未内嵌（已改用按需加载或已跳过）' ELSE '' END || '|' || CASE WHEN bytes > 12 * 1024 * 1024 THEN '已在正文内嵌约 ' || floor(bytes / 1048576.0 + 0.5)::BIGINT::VARCHAR || ' MB 图片，一次性返回全书的接口响应会比较大；按章阅读（/content）不受影响' ELSE '' END AS warnings FROM s WHERE images > 0""")
+def summary_warnings(spark, sf_dir):
+    from quirework.operators.summary import warnings
+
+    s = table(spark, sf_dir, "documents").groupBy("source").agg(F.count_if(F.col("n_chars") > 15000).alias("skipped"), F.count_if(F.col("lang") == "en").alias("images"), (F.sum("n_chars") * 100).alias("bytes")).where("images > 0")
+    s = s.withColumn("w", warnings(F.lit(False), F.col("images"), F.col("images"), F.col("bytes"), F.col("skipped")))
+    first = lambda start: F.coalesce(F.get(F.filter("w", lambda x: x.startswith(start)), F.lit(0)), F.lit(""))
+    return s.select("source", F.concat_ws("|", first("有"), first("已在")).alias("warnings"))
+
+
+@query(f"WITH {CATALOG} SELECT id, title, created_at, row_number() OVER (ORDER BY created_at DESC, id DESC) AS place FROM cat")
+def catalog_list(spark, sf_dir):
+    return catalog.listed(order_catalog(spark, sf_dir)).select("id", "title", "created_at", "place")
+
+
+@query("SELECT sha1(text) AS name, count(*) AS n, min(doc_id) AS first_id, max(strlen(text)) AS bytes FROM documents GROUP BY sha1(text)")
+def asset_sha1_dedupe(spark, sf_dir):
+    return catalog.by_content(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("data")))
+
+
+@query("WITH o AS (SELECT source AS book_id, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS page FROM documents), n AS (SELECT book_id, count(*) AS n FROM o GROUP BY book_id), m AS (SELECT book_id, page, lead(page) OVER (PARTITION BY book_id ORDER BY page) AS nxt FROM o WHERE page % 7 = 3) SELECT m.book_id, m.page::BIGINT AS first_page, greatest(m.page + 1, coalesce(nxt, n.n))::BIGINT AS end_page, sum(d.n_chars)::BIGINT AS n_chars FROM m JOIN n USING (book_id) JOIN o ON o.book_id = m.book_id AND o.page >= m.page AND o.page < greatest(m.page + 1, coalesce(nxt, n.n)) JOIN documents d ON d.doc_id = o.doc_id GROUP BY ALL")
+def outline_chapters(spark, sf_dir):
+    """Page spans between bookmarks, as an equi-join on exploded pages instead of a range join."""
+    from quirework.operators.pdf import outline_spans
+
+    w = Window.partitionBy("book_id").orderBy("doc_id")
+    pages = table(spark, sf_dir, "documents").select(F.col("source").alias("book_id"), "doc_id", "n_chars").withColumn("page", F.row_number().over(w) - 1)
+    marks = pages.where("page % 7 = 3").select("book_id", F.lit("outline").alias("kind"), F.col("page").alias("pos"), F.col("page"), F.lit("x").alias("title"))
+    info = pages.groupBy("book_id").agg(F.count("*").cast("int").alias("pos")).select("book_id", F.lit("info").alias("kind"), "pos", F.lit(None).cast("int").alias("page"), F.lit("").alias("title"))
+    each = outline_spans(marks.union(info)).withColumn("page", F.explode(F.sequence("first_page", F.col("end_page") - 1)))
+    out = each.join(pages, ["book_id", "page"]).groupBy("book_id", "first_page", "end_page").agg(F.sum("n_chars").alias("n_chars"))
+    return out.select("book_id", F.col("first_page").cast("long").alias("first_page"), F.col("end_page").cast("long").alias("end_page"), "n_chars")
+
+
+@query(f"""WITH {LINES}, entries AS (SELECT doc_id, string_split(text, '. ')[1] AS entry FROM documents), bare AS (SELECT doc_id, pos, regexp_replace(line, '{{WS}}+', '', 'g') AS a, regexp_replace(entry, '{{WS}}+', '', 'g') AS b FROM lines JOIN entries USING (doc_id))
+SELECT doc_id, pos, a <> '' AND b <> '' AND (a = b OR (CASE WHEN length(a) <= length(b) THEN contains(b, a) ELSE contains(a, b) END AND least(length(a), length(b)) >= greatest(4, ceil(greatest(length(a), length(b)) * 0.5)))) AS fits FROM bare""")
+def txt_directory_match(spark, sf_dir):
+    """Every line against the expected heading of its document, its first sentence."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.substring_index("text", ". ", 1).alias("entry"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    return lines.select("doc_id", F.col("pos").cast("long").alias("pos"), segment.fits_entry(F.col("line"), F.array("entry")).alias("fits"))
+
+
+VERSE = ("序", "独立短句", "第一回", "", "", "一行独立的话", "", "", "①列表", "", "", "“她说完了。”", "没有标点", "第二章 开始")
+_NEAR = ", ".join(f"{f}(raw, {k}) OVER w AS {n}" for f, k, n in (("lag", 1, "p1"), ("lag", 2, "p2"), ("lead", 1, "n1"), ("lead", 2, "n2")))
+
+
+@query(f"""WITH l AS (SELECT doc_id, list_concat([{", ".join(f"'{v}'" for v in VERSE)}], string_split(text, chr(10))) AS l FROM documents), r AS (SELECT doc_id, (unnest(generate_series(1, len(l))) - 1)::BIGINT AS pos, unnest(l) AS raw FROM l), n AS (SELECT doc_id, pos, raw, {_NEAR} FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+b AS (SELECT *, regexp_matches(raw, '[。！？；：”"…」』】]$') OR coalesce(regexp_full_match(n1, '{{WS}}*'), false) AS closes FROM n)
+SELECT doc_id, pos, (coalesce((p1 = '序' OR (starts_with(p1, '序章') AND length(p1) < 20)) AND (regexp_matches(p1, '[章回节]$') OR (regexp_matches(raw, '[章回节]$') AND NOT closes)), false) AND NOT closes) OR coalesce(p1 = '' AND p2 = '' AND n1 = '' AND n2 = '' AND length(raw) < 30 AND NOT regexp_matches(raw, '^[【①-⑳]'), false) AS maybe FROM b WHERE raw <> ''""")
+def txt_maybe_title(spark, sf_dir):
+    """Verses before every document's lines."""
+    text = F.concat(F.lit("\n".join(VERSE) + "\n"), F.col("text"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(text, "\n", -1)).alias("pos", "raw"))
+    w = Window.partitionBy("doc_id").orderBy("pos")
+    near = rows.select("*", *[F.lag("raw", -i).over(w).alias(f"r{i + 2}") for i in (-2, -1, 1, 2)]).where("raw <> ''")
+    return near.select("doc_id", F.col("pos").cast("long").alias("pos"), segment.maybe_title(F.col("raw"), {i: F.col(f"r{i + 2}") for i in (-2, -1, 1, 2)}, Rules()).alias("maybe"))
+
+
+def links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, pos, href) of the addresses in navigations."""
+    found = F.regexp_extract_all("html", F.lit('<a href="/([^"]*)">'), F.lit(1))
+    return table(spark, sf_dir, "pages").select("page_id", F.posexplode(found).alias("pos", "href"))
+
+
+LINKS = """links AS (SELECT page_id, (unnest(generate_series(1, len(l))) - 1)::BIGINT AS pos, unnest(l) AS href FROM (SELECT page_id, regexp_extract_all(html, '<a href="/([^"]*)">', 1) AS l FROM pages))"""
+
+
+@query(f"""WITH {LINKS}, up AS (SELECT page_id, pos, href, page_id % 4 AS ups FROM links), parts AS (SELECT *, list_filter(string_split(href, '/'), lambda x: x NOT IN ('', '.', '..')) AS l FROM up)
+SELECT page_id, pos, array_to_string(list_concat((['a', 'b'])[1:greatest(2 - ups, 0)], list_concat(['c'], l)), '/') AS path FROM parts""")
+def href_resolve(spark, sf_dir):
+    """Links below 'a/b' after up to three steps up, two of which there is room for."""
+    href = F.concat(F.repeat(F.lit("../"), (F.col("page_id") % 4).cast("int")), F.lit("./c//"), F.regexp_replace("href", "(^|/)\\.\\.(?=/|$)", "$1"))
+    return links(spark, sf_dir).select("page_id", F.col("pos").cast("long").alias("pos"), t.join_path(F.lit("a/b"), href).alias("path"))
+
+
+KINDS = t.IMAGE_TYPES | t.ASSET_TYPES | {"xyz": "application/octet-stream", "": "application/octet-stream"}
+
+
+@query(f"WITH k AS (SELECT * FROM (VALUES {', '.join(f'({i}, {chr(39)}{e}{chr(39)}, {chr(39)}{m}{chr(39)})' for i, (e, m) in enumerate(KINDS.items()))}) v(i, ext, kind)) SELECT doc_id, kind, starts_with(kind, 'image/') AS image FROM documents JOIN k ON doc_id % {len(KINDS)} = i")
+def media_type(spark, sf_dir):
+    ext = F.element_at(F.array(*[F.lit(e.upper()) for e in KINDS]), (F.col("doc_id") % len(KINDS) + 1).cast("int"))
+    d = table(spark, sf_dir, "documents").select("doc_id", t.media_type(F.concat(F.lit("x/y."), ext, F.lit("?v=1#a.png"))).alias("kind"))
+    return d.withColumn("image", t.is_image_type(F.col("kind")))
+
+
+@query("SELECT doc_id, 'data:text/plain;base64,' || to_base64(encode(text)) AS uri FROM documents")
+def data_uri(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", t.data_uri(F.lit("text/plain"), F.col("text").cast("binary")).alias("uri"))
+
 
+_ASKED = "'/i' || CASE WHEN page_id % 2 = 0 THEN '?x=1&' ELSE '?' END || 'href=' || url_encode(url) || '&page=' || page_id::VARCHAR"
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, '{p}', '<img src=\"{p}\" alt=\"\" width=\"100%\" height=\"100%\" style=\"display:block\">')" for i, p in enumerate(PICKED)) + ") v(n, href, tag)")
+
+@query(f"SELECT page_id, {_ASKED} AS address, '' AS unsafe FROM pages")
+def image_url(spark, sf_dir):
+    base = F.when(F.col("page_id") % 2 == 0, "/i?x=1").otherwise("/i")
+    args = {"href": F.col("url"), "page": F.col("page_id")}
+    return table(spark, sf_dir, "pages").select("page_id", t.image_url(base, **args).alias("address"), t.image_url(F.lit("a b<"), **args).alias("unsafe"))
+
+
+_PICK = ['<img src="{}" alt="x"/>', '<img src="data:image/gif;base64,R0" data-src="{}">', '<img data-original="{}">', '<img src="" xlink:href="{}"/>', "<img src='{}' srcset='a 2x'>"]
+
+
+def picked_tags(spark, sf_dir):
+    tag = F.lit("")
+    for i, x in enumerate(_PICK):
+        tag = F.when(F.col("pos") % len(_PICK) == i, F.replace(F.lit(x), F.lit("{}"), F.col("href"))).otherwise(tag)
+    return links(spark, sf_dir).select("page_id", F.col("pos").cast("long").alias("pos"), "href", tag.alias("tag"))
+
+
+@query(f"WITH {LINKS} SELECT page_id, pos, href FROM links")
 def image_pick(spark, sf_dir):
-    rows = spark.createDataFrame(list(enumerate(IMAGES)), "n long, tag string").withColumn("href", t.pick_image(t.attributes(F.col("tag"))))
-    return rows.select("n", "href", t.image_tag(F.col("href")).alias("tag"))
+    return picked_tags(spark, sf_dir).select("page_id", "pos", t.pick_image(t.attributes(F.col("tag"))).alias("href"))
 
 
-@query("""SELECT '<p>x</p><br/><img src="a.png" alt="" width="100%" height="100%" style="display:block"><br/> <img src="b.png" alt="" width="100%" height="100%" style="display:block"><br/>y' AS html""")
-def blockify(spark, sf_dir):
-    rows = spark.createDataFrame([('<p>x</p><a href="#"><img src="a.png" class="c"/></a> <img src="b.png"><br/>y',)], "html string")
-    return rows.select(t.blockify(t.unwrap_images(F.col("html"))).alias("html"))
+@query(f"""WITH {LINKS} SELECT page_id, pos, CASE pos % 5 WHEN 0 THEN '<img src="' || href || '" alt="x"/>' WHEN 1 THEN '<img src="data:image/gif;base64,R0">' WHEN 2 THEN '<img>' WHEN 3 THEN '<img src="" xlink:href="' || href || '"/>' ELSE '<img src=' || chr(39) || href || chr(39) || '>' END AS tag FROM links""")
+def strip_lazy(spark, sf_dir):
+    return picked_tags(spark, sf_dir).select("page_id", "pos", t.strip_lazy(F.col("tag")).alias("tag"))
+
+
+_BLOCK = """'<img src="' || href || '" alt="" width="100%" height="100%" style="display:block">'"""
 
 
-NAV = '<nav><ol><li><a href="1.xhtml">One</a><ol><li><a href="2.xhtml">Two &amp; a half</a></li></ol></li><li><a href="3.xhtml">Three</a></li></ol></ol><a href="4">Four</a></nav>'
+@query(f"WITH {LINKS} SELECT page_id, pos, {_BLOCK} AS tag FROM links")
+def image_tag(spark, sf_dir):
+    return links(spark, sf_dir).select("page_id", F.col("pos").cast("long").alias("pos"), t.image_tag(F.col("href")).alias("tag"))
 
 
-@query("SELECT * FROM (VALUES (0::BIGINT, 0::BIGINT, '1.xhtml', 'One'), (1, 1, '2.xhtml', 'Two & a half'), (2, 0, '3.xhtml', 'Three'), (3, 0, '4', 'Four')) v(pos, level, href, title)")
+@query(f"""WITH {LINKS} SELECT page_id, pos, '<p>x</p><img src="' || href || '"/> y' AS html FROM links""")
+def unwrap(spark, sf_dir):
+    wrapped = F.concat(F.lit('<p>x</p><a href="#"><sup> <img src="'), F.col("href"), F.lit('"/>&nbsp;</sup></a> y'))
+    return links(spark, sf_dir).select("page_id", F.col("pos").cast("long").alias("pos"), t.unwrap_images(wrapped).alias("html"))
+
+
+@query(f"""WITH {LINKS} SELECT page_id, pos, '<p>x</p><br/>' || {_BLOCK} || '<br/> ' || replace({_BLOCK}, 'src="', 'src="b') || '<br/>y' AS html FROM links""")
+def blockify(spark, sf_dir):
+    html = F.concat(F.lit('<p>x</p><a href="#"><img src="'), F.col("href"), F.lit('" class="c"/></a> <img src="b'), F.col("href"), F.lit('"><br/>y'))
+    return links(spark, sf_dir).select("page_id", F.col("pos").cast("long").alias("pos"), t.blockify(t.unwrap_images(html)).alias("html"))
+
+
+@query(f"WITH {LINKS} SELECT page_id, pos, pos % 2 AS level, '/' || href AS href, trim({unescaped('href')}) AS title FROM links")
 def nav_toc(spark, sf_dir):
-    rows = spark.createDataFrame([(NAV,)], "html string").select(F.explode(segment.nav_levels(F.col("html"))).alias("a"))
-    return rows.select(F.col("a.pos").cast("long").alias("pos"), F.col("a.level").cast("long").alias("level"), t.attribute(F.col("a.tag"), "href").alias("href"), t.clean_title(F.col("a.tag")).alias("title"))
+    """The pages' navigations as nested lists: every second link is a level down."""
+    item = F.transform(F.regexp_extract_all("html", F.lit('<a href="/[^"]*">.*?</a>'), F.lit(0)), lambda a, i: F.when(i % 2 == 1, F.concat(F.lit("<ol><li>"), a, F.lit("</li></ol></li>"))).otherwise(F.concat(F.lit("<li>"), a)))
+    nav = F.concat(F.lit("<nav><ol>"), F.array_join(item, ""), F.lit("</ol></nav>"))
+    rows = table(spark, sf_dir, "pages").select("page_id", F.explode(segment.nav_levels(nav)).alias("a"))
+    return rows.select("page_id", F.col("a.pos").cast("long").alias("pos"), F.col("a.level").cast("long").alias("level"), t.attribute(F.col("a.tag"), "href").alias("href"), t.clean_title(F.col("a.tag")).alias("title"))
 
 
-@query("""WITH s AS (SELECT source, count(*) FILTER (WHERE n_chars > 15000) AS skipped, count(*) FILTER (WHERE lang = 'en') AS images, sum(n_chars) * 100 AS bytes FROM documents GROUP BY source)
-SELECT source, CASE WHEN skipped > 0 THEN '有 ' || skipped::VARCHAR || ' 张图片未内嵌（已改用按需加载或已跳过）' ELSE '' END || '|' || CASE WHEN bytes > 12 * 1024 * 1024 THEN '已在正文内嵌约 ' || floor(bytes / 1048576.0 + 0.5)::BIGINT::VARCHAR || ' MB 图片，一次性返回全书的接口响应会比较大；按章阅读（/content）不受影响' ELSE '' END AS warnings FROM s WHERE images > 0""")
-def summary_warnings(spark, sf_dir):
-    from quirework.operators.summary import warnings
+@query("SELECT page_id, replace(html, '<', chr(92) || 'u003c') AS json FROM pages")
+def json_for_script(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", t.json_for_script(F.col("html")).alias("json"))
 
-    s = table(spark, sf_dir, "documents").groupBy("source").agg(F.count_if(F.col("n_chars") > 15000).alias("skipped"), F.count_if(F.col("lang") == "en").alias("images"), (F.sum("n_chars") * 100).alias("bytes")).where("images > 0")
-    s = s.withColumn("w", warnings(F.lit(False), F.col("images"), F.col("images"), F.col("bytes"), F.col("skipped")))
-    first = lambda start: F.coalesce(F.get(F.filter("w", lambda x: x.startswith(start)), F.lit(0)), F.lit(""))
-    return s.select("source", F.concat_ws("|", first("有"), first("已在")).alias("warnings"))
 
+_MAGIC = (("FFD8FFE0", "image/jpeg"), ("474946383961", "image/gif"), ("89504E470D0A", "image/png"), ("524946460000000057454250", "image/webp"), ("524946460000000057415645", None), ("", None))
 
-@query()
-def epub_chapters(spark, sf_dir):
-    """Archives made of conversations, one a book, parsed again. Not SQL: bytes in, rows out."""
-    from quirework.operators.epub import Options, parse_epub
 
-    return parse_epub(made_files(spark, sf_dir, "epub"), Options(image_mode="none"))["chapters"]
+@query("SELECT doc_id, (" + "[" + ", ".join(f"'{m}'" if m else "NULL" for _, m in _MAGIC) + "])[doc_id % 6 + 1] AS kind FROM documents")
+def sniff_image(spark, sf_dir):
+    head = F.element_at(F.array(*[F.lit(h) for h, _ in _MAGIC]), (F.col("doc_id") % 6 + 1).cast("int"))
+    data = F.concat(F.unhex(head), F.col("text").cast("binary"))
+    return table(spark, sf_dir, "documents").select("doc_id", t.sniff_image(data).alias("kind"))
 
 
-@query()
-def pdf_chapters(spark, sf_dir):
-    """Page files made of conversations, a page for each turn, parsed again. Not SQL: bytes in, rows out."""
-    from quirework.operators.pdf import Options, parse_pdf
+@query(r"SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN 'charset=iso-8859-1 ' || regexp_replace(text, '[^\x00-\xff]', '', 'g') ELSE text END AS text FROM documents")
+def decode_text(spark, sf_dir):
+    """UTF-8 with and without a byte-order mark, and a named charset."""
+    plain = F.concat(F.lit("charset=iso-8859-1 "), F.regexp_replace("text", r"[^\x00-\xff]", ""))
+    data = F.when(F.col("doc_id") % 3 == 0, F.concat(F.unhex(F.lit("EFBBBF")), F.col("text").cast("binary"))).when(F.col("doc_id") % 3 == 1, F.encode(plain, "ISO-8859-1")).otherwise(F.col("text").cast("binary"))
+    return table(spark, sf_dir, "documents").select("doc_id", t.decode_text(data).alias("text"))
 
-    return parse_pdf(made_files(spark, sf_dir, "pdf"), Options(image_mode="none"))["chapters"]
 
+@query("SELECT page_id, CASE WHEN page_id % 5 < 2 THEN 'epub' WHEN page_id % 5 < 4 THEN 'pdf' ELSE 'txt' END AS kind FROM pages")
+def format_dispatch(spark, sf_dir):
+    """Kinds by name, and by content where the name says nothing."""
+    from quirework.sources import kind_of
 
-def made_files(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    """(book_id, content): a file for each conversation."""
-    import pandas as pd
+    ext = F.element_at(F.array(*map(F.lit, (".EPUB?x", "", ".pdf", "", ".txt"))), (F.col("page_id") % 5 + 1).cast("int"))
+    content = F.when(F.col("page_id") % 5 == 3, F.concat(F.lit("  %PDF-1.4"), "html")).otherwise(F.col("html")).cast("binary")
+    return table(spark, sf_dir, "pages").select("page_id", kind_of(F.concat(F.lit("/x/b"), ext), content).alias("kind"))
 
-    def epub_bytes(parts: list[tuple[str, str]]) -> bytes:
-        import html
-        import io
-        import zipfile
 
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-            z.writestr("META-INF/container.xml", '<container><rootfile full-path="b.opf"/></container>')
-            items = "".join(f'<item id="c{i}" href="{i}.xhtml" media-type="application/xhtml+xml"/>' for i in range(len(parts)))
-            refs = "".join(f'<itemref idref="c{i}"/>' for i in range(len(parts)))
-            z.writestr("b.opf", f"<package><metadata><title>Book</title></metadata><manifest>{items}</manifest><spine>{refs}</spine></package>")
-            for i, (role, text) in enumerate(parts):
-                z.writestr(f"{i}.xhtml", f"<html><body><h1>{html.escape(role)} {i + 1}</h1><p>{html.escape(text)}</p></body></html>")
-        return out.getvalue()
+@query(r"SELECT doc_id, CASE WHEN trim(lang) = '' THEN 'book' ELSE lang || '__' || source END AS name, length(text) + len(regexp_extract_all(text, '[\x{10000}-\x{10ffff}]')) AS units FROM documents")
+def file_names(spark, sf_dir):
+    """Names that are safe for files, and lengths in UTF-16 units."""
+    return table(spark, sf_dir, "documents").select("doc_id", t.safe_file_name(F.concat("lang", F.lit(":?"), "source", F.lit(" ."))).alias("name"), t.js_length(F.col("text")).cast("long").alias("units"))
 
-    def pdf_bytes(parts: list[tuple[str, str]]) -> bytes:
-        n = len(parts)
-        objects = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [%s] >>" % b" ".join(b"%d 0 R" % (3 + i) for i in range(n))]
-        objects += [b"<< /Type /Page /Contents %d 0 R >>" % (3 + n + i) for i in range(n)]
-        for role, text in parts:
-            body = b"BT " + b" T* ".join(b"<%s> Tj" % x.encode("cp1252", "replace").hex().encode() for x in (role, *text.split("\n"))) + b" ET"
-            objects.append(b"<< /Length %d >>\nstream\n%s\nendstream" % (len(body), body))
-        return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (i, o) for i, o in enumerate(objects, 1))
 
-    make = epub_bytes if kind == "epub" else pdf_bytes
+@query(f"WITH {CATALOG}, p AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'T' END AS title, 'A' AS author FROM orders) SELECT cat.id, cat.title, CASE WHEN cat.author = '' THEN 'A' ELSE cat.author END AS author, CASE WHEN cat.id % 2 = 0 THEN 'D' ELSE '' END AS description FROM cat")
+def catalog_enrich(spark, sf_dir):
+    """What a file says of itself where the catalog has nothing."""
+    b = order_catalog(spark, sf_dir)
+    parsed = b.select("id", F.lit("T").alias("title"), F.lit("A").alias("author"), F.when(F.col("id") % 2 == 0, "D").otherwise("").alias("description"))
+    return catalog.enrich(b, parsed).select("id", "title", "author", "description")
 
-    def run(batches):
-        for b in batches:
-            yield pd.DataFrame({"book_id": b["book_id"], "content": [make([(x["role"], x["text"] or "") for x in parts]) for parts in b["parts"]]})
 
-    c = table(spark, sf_dir, "conversations")
-    turns = c.groupBy(F.col("conv_id").cast("string").alias("book_id")).agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("parts"))
-    return turns.mapInPandas(run, "book_id string, content binary")
+from quirework.plans import book_queries  # noqa: E402, F401  registers its queries here
