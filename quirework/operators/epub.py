@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quirework.functions import text as t
 from quirework.operators import segment
+from quirework.operators.notes import TITLE, chapter_notes
 from quirework.operators.rules import Rules
 from quirework.plans.staging import stage
 from quirework.sources.zipscan import resolve, zip_entries
@@ -27,10 +29,19 @@ class Options:
     max_chapters: int = 0
     collect_notes: bool = True
     inline_styles: bool = True
+    inline_fonts: bool = False
+    notes_title: str = ""
     image_chapter: int = 0
+    image_href: str = ""
     rules: Rules = field(default_factory=Rules)
     entries: tuple[str, ...] = ()
 
+    def __post_init__(self):
+        if self.image_mode not in ("inline", "url", "none"):
+            raise ValueError("image_mode is inline, url or none")
+        if self.image_base and not re.fullmatch(r"[\w./:-]{1,200}(\?.*)?", self.image_base):
+            raise ValueError("image_base has other characters than an address path")
+
 
 def _items(doc: Column, tag: str) -> Column:
     """All start tags of a name, with or without a namespace."""
@@ -96,49 +107,76 @@ def toc(entries: DataFrame, items: DataFrame) -> DataFrame:
     return out.select("book_id", "pos", F.when(F.col("title") == "", F.col("href")).otherwise(F.col("title")).alias("title"), "href", t.href_key(t.join_path(F.col("dir"), F.col("href"))).alias("key"), "level")
 
 
-_NOTE = "(?is)<(aside|div|section|p|li|blockquote)\\b(?=[^>]*(?:epub:type\\s*=\\s*[\"'][^\"']*(?:footnote|endnote|rearnote)|(?:class|role)\\s*=\\s*[\"'][^\"']*(?:footnote|endnote)))(?![^>]*noteref)[^>]*>.*?</\\1>"
+def notes(docs: DataFrame, entries: DataFrame) -> DataFrame:
+    """(book_id, chapter, n, id, text) of the notes of ``docs(book_id, entry, body)``, numbered by the place of their markers."""
+    found = chapter_notes(docs, entries, stage).select("book_id", F.col("entry").alias("chapter"), F.posexplode("notes").alias("n", "x"))
+    return found.select("book_id", "chapter", (F.col("n") + 1).alias("n"), F.col("x.id").alias("id"), F.col("x.content").alias("text"))
+
+
+_URL = "(?i)url\\(\\s*(?:\"[^\"')]+\"|'[^\"')]+'|[^\"')]+)\\s*\\)"
+
+
+def _addresses(css: Column) -> Column:
+    """Array of the url(...) of a style sheet that name something in the archive."""
+    return F.filter(F.regexp_extract_all(css, F.lit(_URL), F.lit(0)), lambda u: ~u.rlike("(?i)^url\\(\\s*[\"']?\\s*(?:data:|https?:|#|blob:)"))
 
 
-def notes(docs: DataFrame) -> DataFrame:
-    """(book_id, entry, chapter, n, text) for ``docs(book_id, entry, spine_pos, body)``: note texts in the order of their markers.
+def style_sheets(docs: DataFrame, entries: DataFrame) -> DataFrame:
+    """(book_id, chapter_no, at, dir, css): the linked sheets and then the style elements of each chapter's head, in order."""
+    head = docs.select("book_id", "chapter_no", "entry", F.regexp_extract("html", "(?is)<head\\b[^>]*>(.*?)</head>", 1).alias("head"))
+    links = head.select("book_id", "chapter_no", "entry", F.posexplode(F.regexp_extract_all("head", F.lit("(?is)<link\\b[^>]*>"), F.lit(0))).alias("at", "tag")).withColumn("a", t.attributes(F.col("tag")))
+    links = links.where(F.lower(F.try_element_at("a", F.lit("rel"))).contains("stylesheet") & (F.try_element_at("a", F.lit("href")) != ""))
+    links = links.select("book_id", "chapter_no", "at", t.href_key(t.join_path(t.path_dir(F.col("entry")), F.try_element_at("a", F.lit("href")))).alias("path"))
+    hit = resolve(stage(links), entries).where("entry is not null").join(entries.select("book_id", F.col("name").alias("entry"), "data"), ["book_id", "entry"])
+    linked = hit.select("book_id", "chapter_no", F.lit(0).alias("kind"), "at", t.path_dir(F.col("entry")).alias("dir"), t.decode_text(F.col("data")).alias("css"))
+    own = head.select("book_id", "chapter_no", F.lit(1).alias("kind"), F.posexplode(F.regexp_extract_all("head", F.lit("(?is)<style\\b[^>]*>(.*?)</style>"), F.lit(1))).alias("at", "css"), t.path_dir(F.col("entry")).alias("dir"))
+    own = own.select("book_id", "chapter_no", "kind", "at", "dir", "css")
+    no = F.row_number().over(Window.partitionBy("book_id", "chapter_no").orderBy("kind", "at"))
+    return linked.unionByName(own).withColumn("at", no).drop("kind")
 
-    A marker is a short number or a note sign that links to an id, in the same document or another one of the book.
+
+def _tags(chaps: DataFrame, sheets: DataFrame) -> DataFrame:
+    """(book_id, chapter_no, k, tag, path, css): what names a resource, in the order in which budgets are spent.
+
+    Addresses in a chapter's sheets come first, then its images, then the addresses in its style attributes.
     """
-    found = docs.select("book_id", "entry", F.explode(F.regexp_extract_all("body", F.lit(_NOTE), F.lit(0))).alias("block"))
-    found = found.select("book_id", "entry", t.attribute(F.regexp_extract("block", "(?is)^<[^>]*>", 0), "id").alias("id"), t.clean_title(F.regexp_replace("block", "(?is)<(br|/p|/li)[^>]*>", " ")).alias("text")).where("id <> ''")
-    found = found.withColumn("text", F.regexp_replace("text", "^(?:\\[\\d{1,3}\\]|\\d{1,3}[.．、])\\s*", "")).dropDuplicates(["book_id", "entry", "id"])
-    marks = docs.select("book_id", F.col("entry").alias("chapter"), F.posexplode(F.regexp_extract_all("body", F.lit("(?is)<a\\b[^>]*href\\s*=\\s*[\"'][^\"']*#[^>]*>.*?</a>"), F.lit(0))).alias("at", "tag"))
-    marks = marks.select("book_id", "chapter", "at", t.attribute(F.col("tag"), "href").alias("href"), t.clean_title(F.col("tag")).alias("mark"))
-    marks = marks.where(~F.col("href").rlike("(?i)^(data:|https?:|mailto:)") & F.col("mark").rlike("^[\\[(（【]?(?:\\d{1,3}|注\\d*|\\*)[\\])）】]?\\z"))
-    file = F.substring_index("href", "#", 1)
-    target = F.when(file == "", F.col("chapter")).otherwise(t.join_path(t.path_dir(F.col("chapter")), file))
-    hit = marks.select("book_id", "chapter", "at", target.alias("entry"), F.substring_index("href", "#", -1).alias("id")).join(found, ["book_id", "entry", "id"])
-    first = hit.groupBy("book_id", "chapter", "entry", "id", "text").agg(F.min("at").alias("at"))
-    n = F.row_number().over(Window.partitionBy("book_id", "chapter").orderBy("at", "id"))
-    return first.select("book_id", "chapter", n.alias("n"), "entry", "id", "text")
-
-
-def _images(chaps: DataFrame, entries: DataFrame, o: Options) -> DataFrame:
-    """(book_id, chapter_no, k, tag, entry, n, state, new): each image tag of the chapters and what stands for it.
+    kind = lambda no, at: F.concat_ws(".", F.lit(no), F.lpad(F.col(at).cast("string"), 6, "0"), F.lpad(F.col("i").cast("string"), 6, "0"))
+    trimmed = F.regexp_replace(F.regexp_replace("tag", "(?i)^url\\(\\s*[\"']?\\s*", ""), "\\s*[\"']?\\s*\\)$", "")
+    in_css = sheets.select("book_id", "chapter_no", "at", "dir", F.posexplode(_addresses(F.col("css"))).alias("i", "tag"))
+    in_css = in_css.select("book_id", "chapter_no", kind("0", "at").alias("k"), "tag", "dir", trimmed.alias("href"), F.lit(True).alias("css"))
+    images = chaps.select("book_id", "chapter_no", F.lit(0).alias("at"), t.path_dir(F.col("entry")).alias("dir"), F.posexplode(F.regexp_extract_all("body", F.lit("(?is)<(?:img|image)\\b[^>]*>"), F.lit(0))).alias("i", "tag"))
+    images = images.select("book_id", "chapter_no", kind("1", "at").alias("k"), "tag", "dir", t.let(t.attributes(F.col("tag")), t.pick_image).alias("href"), F.lit(False).alias("css"))
+    styles = F.flatten(F.transform(F.regexp_extract_all("body", F.lit("(?is)\\sstyle\\s*=\\s*(\"[^\"]*\"|'[^']*')"), F.lit(1)), _addresses))
+    in_style = chaps.select("book_id", "chapter_no", F.lit(0).alias("at"), t.path_dir(F.col("entry")).alias("dir"), F.posexplode(styles).alias("i", "tag"))
+    in_style = in_style.select("book_id", "chapter_no", kind("2", "at").alias("k"), "tag", "dir", trimmed.alias("href"), F.lit(True).alias("css"))
+    every = images.unionByName(in_css).unionByName(in_style)
+    return every.withColumn("path", t.href_key(t.join_path(F.col("dir"), F.col("href")))).drop("dir")
+
+
+def _images(tags: DataFrame, entries: DataFrame, o: Options) -> DataFrame:
+    """(book_id, chapter_no, k, tag, css, entry, n, image, state, new): each named resource and what stands for it.
 
     Sizes are admitted in reading order; what is too large or over the budget is an address, or nothing, and uses
-    nothing up.
+    nothing up. Fonts and other assets are addresses unless inline_fonts is set.
     """
-    tags = chaps.select("book_id", "chapter_no", "entry", F.posexplode(F.regexp_extract_all("body", F.lit("(?is)<(?:img|image)\\b[^>]*>"), F.lit(0))).alias("k", "tag")).withColumnRenamed("entry", "doc")
-    tags = tags.withColumn("href", t.let(t.attributes(F.col("tag")), t.pick_image)).withColumn("path", t.href_key(t.join_path(t.path_dir(F.col("doc")), F.col("href"))))
     hit = resolve(stage(tags), entries).join(entries.select("book_id", F.col("name").alias("entry"), F.col("usize").alias("n"), "data"), ["book_id", "entry"], "left").where("entry is not null")
+    hit = hit.withColumn("image", t.is_image_type(t.media_type(F.col("entry"))))
     url = t.image_url(F.lit(o.image_base), href=F.col("entry")) if o.image_base else F.lit("")
-    fits = (F.col("n") <= o.max_image_bytes) if o.max_image_bytes > 0 else F.lit(True)
+    small = (F.col("n") <= o.max_image_bytes) if o.max_image_bytes > 0 else F.lit(True)
     asked = (F.col("chapter_no") == o.image_chapter) if o.image_chapter else F.lit(True)
-    hit = hit.withColumn("fits", fits & F.lit(o.image_mode == "inline") & asked)
+    if o.image_href:
+        asked = asked & (F.col("chapter_href") == o.image_href)
+    asked = asked & (F.col("image") | F.lit(o.inline_fonts))
+    hit = hit.withColumn("fits", small & F.lit(o.image_mode == "inline") & asked)
     if o.max_inline_bytes > 0:
         order = hit.groupBy("book_id").agg(F.array_sort(F.collect_list(F.when(F.col("fits"), F.struct("chapter_no", "k", "n")))).alias("o"))
         took = segment.within_budget(F.transform("o", lambda x: x["n"]), F.lit(o.max_inline_bytes).cast("long"))
         each = order.select("book_id", F.explode(F.arrays_zip(F.col("o"), took.alias("took"))).alias("x")).select("book_id", "x.o.chapter_no", "x.o.k", "x.took")
         hit = hit.join(each, ["book_id", "chapter_no", "k"], "left").withColumn("fits", F.coalesce("took", F.lit(False))).drop("took")
-    source = F.when(F.col("fits"), t.data_uri(t.media_type(F.col("entry")), F.col("data"))).otherwise(url)
-    state = F.when(F.col("fits"), "inline").when(F.lit(o.image_mode == "inline") & asked, "skipped").when(url != "", "url").otherwise("none")
-    return hit.select("book_id", "chapter_no", "k", "tag", "entry", "n", state.alias("state"), F.when(source != "", t.image_tag(source)).otherwise(t.strip_lazy(F.col("tag"))).alias("new"))
+    source = F.when(F.col("fits"), t.data_uri(t.media_type(F.col("entry")), F.col("data"))).otherwise(url if o.image_mode != "none" else F.lit(""))
+    state = F.when(F.col("fits"), "inline").when(F.lit(o.image_mode == "inline") & asked, "skipped").when(source != "", "url").otherwise("none")
+    new = F.when(F.col("css"), F.when(source != "", F.concat(F.lit('url("'), source, F.lit('")'))).otherwise(F.col("tag"))).otherwise(F.when(source != "", t.image_tag(source)).otherwise(t.strip_lazy(F.col("tag"))))
+    return hit.select("book_id", "chapter_no", "k", "tag", "css", "entry", "n", "image", state.alias("state"), new.alias("new"))
 
 
 def parse_epub(files: DataFrame, options: Options | None = None) -> dict[str, DataFrame]:
@@ -159,19 +197,32 @@ def parse_epub(files: DataFrame, options: Options | None = None) -> dict[str, Da
     heading = F.nullif(t.heading_title(F.col("body")), F.lit(""))
     docs = stage(docs).withColumn("title", F.coalesce(heading, F.nullif("toc_title", F.lit("")), F.concat(F.lit("第"), F.col("chapter_no").cast("string"), F.lit("章"))))
     docs = stage(docs.withColumn("has_images", F.col("body").rlike("(?i)<(?:img|image)\\b")))
-    images = stage(_images(docs, entries, o))
-    swaps = images.dropDuplicates(["book_id", "chapter_no", "tag"]).groupBy("book_id", "chapter_no").agg(F.map_from_entries(F.collect_list(F.struct("tag", "new"))).alias("swap"))
+    sheets = stage(style_sheets(docs, entries)) if o.inline_styles else style_sheets(docs.limit(0), entries)
+    # Notes are drawn to the end before anything else, so that their images are treated alike
+    if o.collect_notes:
+        listed = F.array_join(F.transform("notes", lambda x, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), x["content"])), "<br/>")
+        ends = F.when(F.size("notes") > 0, F.concat(F.lit(f"<br/>{o.notes_title or TITLE}<br/>"), listed, F.lit("<br/>"))).otherwise("")
+        drawn = chapter_notes(docs, entries, stage).select("book_id", "entry", F.concat("kept", ends).alias("drawn"))
+        docs = stage(docs.join(drawn, ["book_id", "entry"]))
+    else:
+        docs = docs.withColumn("drawn", F.col("body"))
+    named_tags = _tags(docs.withColumn("body", F.col("drawn")), sheets).join(docs.select("book_id", "chapter_no", F.col("entry").alias("chapter_href")), ["book_id", "chapter_no"])
+    images = stage(_images(named_tags, entries, o))
+    once = images.dropDuplicates(["book_id", "chapter_no", "tag"])
+    pairs = lambda css: F.map_from_entries(F.collect_list(F.when(F.col("css") == css, F.struct("tag", "new"))))
+    swaps = once.groupBy("book_id", "chapter_no").agg(pairs(False).alias("swap"), pairs(True).alias("urls"))
     docs = docs.join(swaps, ["book_id", "chapter_no"], "left")
+    swap_urls = lambda text: F.aggregate(F.coalesce(F.map_entries("urls"), F.array().cast("array<struct<key:string,value:string>>")), text, lambda acc, e: F.replace(acc, e["key"], e["value"]))
+    shown = sheets.join(swaps, ["book_id", "chapter_no"], "left").withColumn("css", swap_urls(F.col("css")))
+    css = shown.groupBy("book_id", "chapter_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "css"))), lambda x: x["css"]), "\n").alias("css"))
+    docs = docs.join(css, ["book_id", "chapter_no"], "left")
     tokens = F.regexp_extract_all("clean", F.lit("(?s)<[^>]*>|[^<]+|<"), F.lit(0))
-    body = F.regexp_replace("body", _NOTE, "") if o.collect_notes else F.col("body")
-    docs = stage(docs.withColumn("clean", F.regexp_replace(body, "(?is)</?svg\\b[^>]*>", "")))
-    swapped = F.when(F.col("swap").isNull(), F.col("clean")).otherwise(F.array_join(F.transform(tokens, lambda x: F.coalesce(F.try_element_at("swap", x), x)), ""))
+    docs = stage(docs.withColumn("clean", F.regexp_replace("drawn", "(?is)</?svg\\b[^>]*>", "")))
+    one = lambda x: F.when(x.rlike("(?is)^<[^>]*\\sstyle\\s*=[^>]*url\\("), swap_urls(x)).otherwise(F.coalesce(F.try_element_at("swap", x), x))
+    swapped = F.when(F.col("swap").isNull(), F.col("clean")).otherwise(F.array_join(F.transform(tokens, one), ""))
     docs = stage(docs.withColumn("swapped", swapped))
-    css = F.array_join(F.regexp_extract_all("html", F.lit("(?is)<style\\b[^>]*>.*?</style>"), F.lit(0)), "") if o.inline_styles else F.lit("")
-    docs = docs.withColumn("content", t.sanitize_html(F.concat(css, t.blockify(t.unwrap_images(F.col("swapped"))))))
-    if o.collect_notes:
-        n = notes(docs).groupBy("book_id", F.col("chapter").alias("entry")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: F.concat(F.lit("<br/>["), x["n"].cast("string"), F.lit("] "), x["text"])), "").alias("notes"))
-        docs = docs.join(n, ["book_id", "entry"], "left").withColumn("content", F.concat("content", F.coalesce(F.concat(F.lit("<br/>注释"), F.col("notes")), F.lit(""))))
+    styles = F.when(F.coalesce("css", F.lit("")) != "", F.concat(F.lit("<style>\n"), "css", F.lit("\n</style>\n"))).otherwise("")
+    docs = docs.withColumn("content", t.sanitize_html(F.concat(styles, t.blockify(t.unwrap_images(F.col("swapped"))))))
     text = t.html_to_text(F.col("body"))
     # A chapter without a body is one whose text is its title; images count as a body
     bare = ~F.col("has_images") & ((t.no_space(text) == "") | (t.no_space(text) == t.no_space(F.col("title"))))
@@ -182,9 +233,10 @@ def parse_epub(files: DataFrame, options: Options | None = None) -> dict[str, Da
     last = merged.select("book_id", F.col("chapter_no").alias("no"), F.col("title").alias("heading"), "parts", F.element_at("parts", -1).alias("chapter_no"))
     chapters = last.join(rows.select("book_id", "chapter_no", "content", "href"), ["book_id", "chapter_no"]).select("book_id", F.col("no").alias("chapter_no"), F.col("heading").alias("title"), "content", "href")
     books = metadata(pkg)
-    counted = images.groupBy("book_id").agg(F.count_distinct("entry").alias("image_count"), F.count_if(F.col("state") == "inline").alias("inlined_images"), F.sum(F.when(F.col("state") == "inline", F.col("n"))).alias("image_bytes"), F.count_if(F.col("state") == "skipped").alias("skipped_images"))
+    picture, inline = F.col("image"), F.col("state") == "inline"
+    counted = images.groupBy("book_id").agg(F.count_distinct(F.when(picture, F.col("entry"))).alias("image_count"), F.count_if(picture & inline).alias("inlined_images"), F.sum(F.when(inline, F.col("n"))).alias("image_bytes"), F.count_if(F.col("state") == "skipped").alias("skipped_images"), F.count_if(~picture & F.col("state").isin("inline", "url")).alias("asset_count"), F.sum(F.when(~picture & inline, F.col("n"))).alias("asset_bytes"))
     stats = entries.groupBy("book_id").agg(F.count("name").alias("entries")).join(order.groupBy("book_id").agg(F.count("*").alias("spine_count")), "book_id", "left").join(chapters.groupBy("book_id").agg(F.count("*").alias("chapter_count")), "book_id", "left").join(counted, "book_id", "left").fillna(0)
-    return {"books": books, "chapters": chapters, "toc": contents, "images": images.drop("new"), "stats": stats.withColumn("image_mode", F.lit(o.image_mode)), "covers": covers(entries, pkg, items)}
+    return {"books": books, "chapters": chapters, "toc": contents, "images": images.where("image").drop("new", "css", "image"), "stats": stats.withColumn("image_mode", F.lit(o.image_mode)), "covers": covers(entries, pkg, items)}
 
 
 def covers(entries: DataFrame, pkg: DataFrame, items: DataFrame) -> DataFrame:

@@ -141,7 +141,7 @@ def toc_title_fallback(spark, sf_dir):
 @query(f"""WITH {TURNS} SELECT book_id, (turn + 1)::BIGINT AS chapter_no, {TITLES} AS title,
 coalesce('<h1>' || {HEADS} || '</h1>', '') || CASE WHEN turn = 6 THEN '' ELSE '<p>' || replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</p>' END
 || CASE WHEN turn % 3 = 0 AND turn <> 6 THEN '<br/>' || {TAG} || '<br/>' ELSE '' END
-|| CASE WHEN turn % 5 = 1 THEN '<p>See<a href="#n' || turn::VARCHAR || '">[1]</a>.</p><br/>注释<br/>[1] Note of ' || turn::VARCHAR || '.' ELSE '' END AS content FROM turns""")
+|| CASE WHEN turn % 5 = 1 THEN '<p>See<a href="#n' || turn::VARCHAR || '">[1]</a>.</p><br/>【注释】<br/>[1] Note of ' || turn::VARCHAR || '.<br/>' ELSE '' END AS content FROM turns""")
 def epub_chapters(spark, sf_dir):
     """Whole chapters: lazy and plain images as addresses, notes at the end, a title-only chapter with its own content."""
     return epub.parse_epub(made(spark, sf_dir, "epub"), epub.Options(image_mode="url", image_base="/img"))["chapters"].select("book_id", "chapter_no", "title", "content")
@@ -149,9 +149,9 @@ def epub_chapters(spark, sf_dir):
 
 @query(f"WITH {TURNS} SELECT book_id, 'OPS/' || href AS chapter, 1::BIGINT AS n, 'n' || turn::VARCHAR AS id, 'Note of ' || turn::VARCHAR || '.' AS text FROM turns WHERE turn % 5 = 1")
 def notes_order(spark, sf_dir):
-    entries = zip_entries(made(spark, sf_dir, "epub"), "xhtml$").where("name like '%.xhtml'")
-    docs = stage(entries.select("book_id", F.col("name").alias("entry"), F.col("pos").alias("spine_pos"), t.extract_body(t.decode_text(F.col("data"))).alias("body")))
-    return epub.notes(docs).select("book_id", "chapter", F.col("n").cast("long").alias("n"), "id", "text")
+    entries = stage(zip_entries(made(spark, sf_dir, "epub"), "xhtml$"))
+    docs = entries.where("name like '%.xhtml'").select("book_id", F.col("name").alias("entry"), t.extract_body(t.decode_text(F.col("data"))).alias("body"))
+    return epub.notes(docs, entries).select("book_id", "chapter", F.col("n").cast("long").alias("n"), "id", "text")
 
 
 @query(f"WITH {TURNS}, i AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY turn) AS k FROM turns WHERE turn % 3 = 0 AND turn <> 6) SELECT book_id, (turn + 1)::BIGINT AS chapter_no, 'OPS/img/Cover.PNG' AS entry, 18 + conv_id % 7 AS n, CASE WHEN k * (18 + conv_id % 7) <= 40 THEN 'inline' ELSE 'skipped' END AS state FROM i")

@@ -3,6 +3,7 @@ import random
 import zipfile
 import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from quirework.operators import catalog, epub, pdf
@@ -43,7 +44,7 @@ def test_epub(spark):
     chapters = out["chapters"].orderBy("chapter_no").collect()
     assert [c.title for c in chapters] == ["Chapter One", "Second"]
     first = chapters[0].content
-    assert "data:image/png;base64," in first and "script" not in first and "onclick" not in first and "注释<br/>[1] A note." in first
+    assert "data:image/png;base64," in first and "script" not in first and "onclick" not in first and first.endswith("<br/>【注释】<br/>[1] A note.<br/>") and first.startswith("<style>\np{}\n</style>\n<h1>")
     assert [(r.title, r.level) for r in out["toc"].orderBy("pos").collect()] == [("First", 0), ("Second", 0)]
     cover = out["covers"].first()
     assert (cover.href, cover.media_type, bytes(cover.data)) == ("OEBPS/img/Cover.PNG", "image/png", PNG)
@@ -59,6 +60,38 @@ def test_epub_images_off_keep_the_structure(spark):
     assert [(x["stats"].first().inlined_images, x["stats"].first().skipped_images) for x in runs] == [(0, 1), (0, 0), (0, 0)]
 
 
+def test_epub_notes():
+    """Nested blocks, outermost only, markup kept, order by marker, notes in other documents."""
+    from quirework.operators import notes
+
+    body = '<p>A<a href="#n2">[1]</a> B<a href="#n1">[2]</a> C<a href="n.xhtml#far">3</a></p><div class="footnote" id="n1"><div><p>First <b>bold</b></p></div><p>two</p></div><aside epub:type="footnote" id="n2">[2] Second<section class="note">in</section></aside><p class="footnote-ref">stays</p><p class="notes-like">stays too</p>'
+    cleaned, own, refs = notes.split(body)
+    assert [x[0] for x in own] == ["n1", "n2"] and refs == [("n.xhtml", "far", body.index('<a href="n.xhtml'))]
+    assert cleaned.endswith('</p><p class="footnote-ref">stays</p><p class="notes-like">stays too</p>')
+    found = [*own, ("far", notes.element('<ul><li id="x">no</li><li id="far">1. Far <i>away</i><ul><li>deep</li></ul></li></ul>', "far"), refs[0][2])]
+    assert notes.ordered(cleaned, found) == [("n2", "Second<section class=\"note\">in</section>"), ("n1", "<div>First <b>bold</b><br/></div>two"), ("far", "Far <i>away</i><ul><li>deep</li></ul>")]
+    assert notes.split("<div class='note'>open only") == ("<div class='note'>open only", [], [])
+
+
+def test_epub_sheets_and_far_notes(spark):
+    """Linked sheets before style elements, addresses in them and in style attributes, fonts as addresses, notes elsewhere."""
+    one = "<html><head><link rel='stylesheet' href='../css/a.css'/><style>i{background:url(\"../img/cover.png\")}</style></head><body><p style='background: url(../img/cover.png)'>Text<a href='2.xhtml#fn'>[1]</a></p></body></html>"
+    two = "<html><body><p>No heading here.</p><p id='fn'>1. A <b>far</b> note.</p></body></html>"
+    more = {"OEBPS/text/1.xhtml": one, "OEBPS/text/2.xhtml": two, "OEBPS/css/a.css": "@font-face{src:url(f.ttf)} b{background:url('../img/Cover.PNG')} u{x:url(http://h/x.png)}", "OEBPS/css/f.ttf": b"font"}
+    f = files(spark, sample(**more))
+    out = epub.parse_epub(f, epub.Options(image_mode="url", image_base="/r"))
+    first = out["chapters"].orderBy("chapter_no").first().content
+    cover = 'url("/r?href=OEBPS%2Fimg%2FCover.PNG")'
+    assert first.startswith('<style>\n@font-face{src:url("/r?href=OEBPS%2Fcss%2Ff.ttf")} b{background:' + cover + "} u{x:url(http://h/x.png)}\ni{background:" + cover + "}\n</style>\n")
+    assert f"<p style='background: {cover}'>" in first and first.endswith("<br/>【注释】<br/>[1] A <b>far</b> note.<br/>")
+    stats = out["stats"].first()
+    assert (stats.asset_count, stats.image_count) == (1, 1)
+    inlined = epub.parse_epub(f, epub.Options(inline_fonts=True))
+    assert "data:font/ttf;base64,Zm9udA==" in inlined["chapters"].orderBy("chapter_no").first().content and inlined["stats"].first().asset_bytes == 4
+    with pytest.raises(ValueError):
+        epub.Options(image_mode="x")
+
+
 def test_entry_lookup(spark):
     f = files(spark, archive({"A/B c.txt": "1", "a/b c.TXT": "2"}))
     entries = zipscan.zip_entries(f)
