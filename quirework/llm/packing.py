@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 #: Before a space that follows something else than white space, no token spans the cut.
 _CUT = re.compile(r"(?<=\S)(?= )")
 _TWO = re.compile(r"\s ")
+#: Longest part, in characters, that is remembered; a text without spaces is one part, which seldom comes again.
+LONGEST = 64
 #: Characters that both libraries class alike for certain.
 _PLAIN = re.compile("[\n\x20-\x7eÀ-ɏ]*")
 
@@ -34,7 +36,7 @@ _PLAIN = re.compile("[\n\x20-\x7eÀ-ɏ]*")
 class Encoder:
     """Token ids of whole texts as the tokenizers library gives them, as little-endian unsigned 32-bit bytes.
 
-    Texts are cut where no token can span, and parts are remembered (``max_parts`` bounds the memory, not the result).
+    Texts are cut where no token can span, and short parts are remembered (``max_parts`` and LONGEST bound the memory, not the result).
     With ``ranks_file`` and ``pattern``, the same vocabulary as ranks, plain parts take the faster library; parts with
     special strings or other characters always take the tokenizers library.
     """
@@ -81,7 +83,9 @@ class _Parts(dict):
 
     def __missing__(self, part: str) -> bytes:
         ids = self.encoder.ids(self.before + part) if self.before + part else []
-        self[part] = out = b"".join(x.to_bytes(4, "little") for x in ids)
+        out = b"".join(x.to_bytes(4, "little") for x in ids)
+        if len(part) <= LONGEST:
+            self[part] = out
         return out
 
 

@@ -18,10 +18,14 @@ MARK = "▁"
 _RUNS = re.compile(" *[^ ]+| +$")
 
 
+#: Longest part, in characters, that is remembered; a text without spaces is one part, which seldom comes again.
+LONGEST = 64
+
+
 class PieceCounter:
-    """Counts tokens as the sentencepiece library does for whole texts, remembering the counts of parts.
+    """Counts tokens as the sentencepiece library does for whole texts, remembering the counts of short parts.
 
-    ``max_parts`` bounds the memory of what is remembered; it never changes a count.
+    ``max_parts`` and LONGEST bound the memory of what is remembered; they never change a count.
     """
 
     def __init__(self, model_file: str, max_parts: int = 300_000):
@@ -48,8 +52,10 @@ class PieceCounter:
             self.known = {"": 1}
         cut = [self.parts(t) if t else [] for t in texts]
         new = list({p for c in cut for p in c if p not in self.known})
-        self.known.update(zip(new, map(len, self.sp.encode(new, num_threads=1)), strict=True))
-        return [sum(map(self.known.__getitem__, c)) for c in cut]
+        found = dict(zip(new, map(len, self.sp.encode(new, num_threads=1)), strict=True))
+        long = {p: n for p, n in found.items() if len(p) > LONGEST}
+        self.known.update(found.items() - long.items() if long else found)
+        return [sum(map(self.known.__getitem__, c)) if long.keys().isdisjoint(c) else sum(long[p] if p in long else self.known[p] for p in c) for c in cut]
 
 
 def by_bytes(sizes: Iterable[int], most: int) -> Iterator[tuple[int, int]]:
