@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import struct
 import zipfile
 from collections.abc import Iterator
 
@@ -15,13 +16,32 @@ SCHEMA = "book_id string, pos int, name string, method int, csize long, usize lo
 METHODS = (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED)
 
 
+def opened(content: bytes) -> zipfile.ZipFile:
+    """An archive; of one whose directory breaks off, the entries up to there. Without an end record it is none."""
+    try:
+        return zipfile.ZipFile(io.BytesIO(content))
+    except zipfile.BadZipFile:
+        end = content.rfind(b"PK\5\6")
+        if end < 0 or end + 20 > len(content):
+            raise
+    start = at = struct.unpack_from("<I", content, end + 16)[0]
+    count = 0
+    while content[at : at + 4] == b"PK\1\2" and at + 46 <= len(content):
+        after = at + 46 + sum(struct.unpack_from("<3H", content, at + 28))
+        if after > len(content):
+            break
+        count, at = count + 1, after
+    whole = content[:at] + struct.pack("<4s4H2IH", b"PK\5\6", 0, 0, count, count, at - start, start, 0)
+    return zipfile.ZipFile(io.BytesIO(whole))
+
+
 def scan_archive(content: bytes | None, wanted: str | None = None) -> Iterator[tuple]:
     """(pos, name, method, csize, usize, data, error) of each entry that isn't a folder; data only if its name is wanted."""
     import re
 
     try:
-        z = zipfile.ZipFile(io.BytesIO(content or b""))
-    except (zipfile.BadZipFile, ValueError, OSError) as e:
+        z = opened(content or b"")
+    except (zipfile.BadZipFile, ValueError, OSError, struct.error) as e:
         yield (0, None, None, None, None, None, f"not an archive: {e}")
         return
     for i, e in enumerate(x for x in z.infolist() if not x.is_dir()):

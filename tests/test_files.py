@@ -101,6 +101,16 @@ def test_entry_lookup(spark):
     assert bytes(zipscan.read_resource(f, "A/B c.txt").first().data) == b"1"
 
 
+def test_broken_directory():
+    """Of an archive whose directory breaks off, the entries up to there are read."""
+    whole = bytes(archive({"a.txt": "one", "b.txt": "two", "c.txt": "three"}))
+    third = whole.rfind(b"PK\x01\x02")
+    rows = list(zipscan.scan_archive(whole[:third] + b"XX" + whole[third + 2 :]))
+    assert [(r[1], r[5]) for r in rows] == [("a.txt", b"one"), ("b.txt", b"two")]
+    assert [r[1] for r in zipscan.scan_archive(whole)] == ["a.txt", "b.txt", "c.txt"]
+    assert next(zipscan.scan_archive(whole[:third]))[6].startswith("not an archive")
+
+
 def build_pdf(objects, trailer=b"<< /Root 1 0 R >>"):
     body = b"".join(b"%d 0 obj\n%s\nendobj\n" % (i, o) for i, o in enumerate(objects, 1))
     return bytearray(b"%PDF-1.4\n" + body + b"trailer\n" + trailer)
