@@ -94,7 +94,10 @@ def test_token_counts(odd):
     counter = token_counts.PieceCounter(model)
     assert counter.cuttable
     texts = ["", " ", "a", " a  b ", "a\n b", "x▁ y", "<s> </s>", "中 文", "  ", "\t "] + [t or "" for _, t in ODD]
-    assert counter.counts(texts) == [len(x) for x in counter.sp.encode(texts)]
+    texts += ["a" * 200, "b " + "中" * 300 + " c", "a" * 200 + " b"]
+    assert counter.counts(texts) == counter.counts(texts) == [len(x) for x in counter.sp.encode(texts)]
+    assert max(map(len, counter.known)) <= token_counts.LONGEST
+    assert token_counts.token_counts(odd.limit(0), model).count() == 0 and token_counts.token_counts(odd.withColumn("n_tokens", F.lit(1)).withColumn("id", F.lit(2)), model).count() == len(ODD)
     got = {r.id: r for r in token_counts.token_counts(odd, model, limit=100).collect()}
     assert (got[2].n_bytes, got[2].n_tokens, got[2].over_limit) == (0, 0, False) and got[6].n_bytes == 5000 and got[6].over_limit
     assert list(token_counts.by_bytes([5, 5, 20, 1], 10)) == [(0, 2), (2, 3), (3, 4)]
@@ -106,6 +109,9 @@ def test_packing(odd):
     texts = ["a  b", "it's 'll", "x <|endoftext|> y", "\n a\t b", "中 文²", "a　 b"] + [t or "" for _, t in ODD]
     for t in texts:
         assert enc.encode(t) == b"".join(i.to_bytes(4, "little") for i in enc.slow.encode(t, add_special_tokens=False).ids)
+    assert max(map(len, [*enc.heads, *enc.tails])) <= packing.LONGEST
+    named = odd.withColumnsRenamed({"key": "id", "pos": "start"}).withColumn("length", F.lit(1))
+    assert packing.pack(odd.limit(0), path).count() == 0 and packing.pack(named, path).where("start = 0").count() == len(ODD)
     rows = packing.pack(odd, path, tiers=(64, 32), ranks_file=fast, pattern=public_tokenizers.PATTERN, pool_tokens=256).collect()
     seqs = {}
     for r in rows:
@@ -261,7 +267,7 @@ def test_short_lines(spark, tmp_path):
     assert sorted(map(tuple, stage(spark, docs, "").collect())) == [(1, rows[0][1]), (2, "\nx"), (3, "new"), (5, None), (6, "\n \n")]
 
 
-def test_topk(spark, odd):
+def test_topk(spark, odd, monkeypatch):
     import math
 
     texts = ["the cat sat on the mat", "a dog and a cat", "", None, "dog dog dog", "the mat", "a dog and a cat"] + [f"filler {i} the" for i in range(150)]
@@ -284,6 +290,32 @@ def test_topk(spark, odd):
         want += [(q, r, i, -s) for r, (s, i) in enumerate(sorted(hits)[:4], 1)]
     assert got == want
     assert topk.search(odd, asked).count() == 0 and topk.search(odd.limit(0), asked).count() == 0
+    monkeypatch.setattr(topk, "QUERIES", 2)
+    clash = docs.withColumns({c: F.lit(1) for c in ("id", "query_id", "score", "rank", "n", "terms")})
+    extra = asked.withColumn("rank", F.lit(0)).union(spark.createDataFrame([(None, "dog", 1)], "query_id long, text string, rank int"))
+    assert [(r.query_id, r.rank, r.id, r.score) for r in topk.search(clash, extra, k=4).orderBy("query_id", "rank").collect()] == want
+
+
+def test_topk_blocks():
+    """Pruned scores equal full ones on random segments, and some blocks of postings are never read."""
+    import random
+
+    r = random.Random(9)
+    texts = [" ".join(f"w{min(r.randrange(1, 400), r.randrange(1, 400))}" for _ in range(r.randrange(0, 60))) for _ in range(700)]
+    words = [topk.terms(t) for t in texts]
+    average = sum(map(len, words)) / len(words)
+    df = Counter(w for x in words for w in set(x))
+    idfs = {w: topk.idf(len(texts), k) for w, k in df.items()} | {b"none": 1.0}
+    made = topk.segment_of(texts)
+    seg = topk.Segment(made.pop("terms"), idfs, average, list(range(len(texts))), **made)
+    counts = [0, 0]
+    for _ in range(60):
+        q = Counter(r.choice([*df, b"none"]) for _ in range(r.randrange(1, 6)))
+        best = []
+        seg.search(q, best, 5, counts)
+        full = sorted(((-sum(int(seg.impact(w, topk.np.array([x.count(w)]), topk.np.array([len(x)]))[0]) * k for w, k in q.items() if w in x), i) for i, x in enumerate(words)))
+        assert sorted((-s, h.id) for s, h in best) == [h for h in full[:5] if h[0]]
+    assert 0 < counts[0] < counts[1]
 
 
 def test_secrets(odd):
