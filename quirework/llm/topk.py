@@ -14,9 +14,11 @@ from __future__ import annotations
 
 import heapq
 import math
+from array import array
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,7 @@ from ._common import Scratch
 
 K1, B = 1.2, 0.75
 #: Documents in a block and in a segment, and queries that are read by the driver at a time.
-BLOCK, SEGMENT, QUERIES = 64, 1024, 2000
+BLOCK, SEGMENT, QUERIES = 64, 512, 2000
 
 
 def terms(text: str | None) -> list[bytes]:
@@ -39,7 +41,7 @@ def idf(n: int, df: int) -> float:
     return math.log(1.0 + (n - df + 0.5) / (df + 0.5))
 
 
-_ARRAYS = {"lengths": np.int32, "ends": np.int32, "places": np.int32, "tfs": np.int32, "block_ends": np.int32, "block_numbers": np.int32, "block_tfs": np.int32, "block_lengths": np.int32}
+_ARRAYS = {"lengths": np.int32, "ends": np.int32, "places": np.uint16, "tfs": np.int32, "block_ends": np.int32, "block_numbers": np.uint16, "block_tfs": np.int32, "block_lengths": np.int32}
 
 
 def segment_of(texts: list[str | None]) -> dict[str, bytes]:
@@ -50,14 +52,13 @@ def segment_of(texts: list[str | None]) -> dict[str, bytes]:
     """
     number: dict[bytes, int] = {}
     lengths = np.zeros(len(texts), np.int32)
-    term, place, tf = [], [], []
+    term, place, tf = array("q"), array("i"), array("i")
     for i, text in enumerate(texts):
-        found = terms(text)
-        lengths[i] = len(found)
-        counts = Counter(found)
-        term += [number.setdefault(t, len(number)) for t in counts]
-        place += [i] * len(counts)
-        tf += counts.values()
+        counts = Counter(terms(text))
+        lengths[i] = counts.total()
+        term.extend(number.setdefault(t, len(number)) for t in counts)
+        place.extend(repeat(i, len(counts)))
+        tf.extend(counts.values())
     names = sorted(number)
     rank = np.empty(len(names), np.int64)
     rank[[number[t] for t in names]] = np.arange(len(names))
@@ -184,7 +185,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_
 
         def frequencies(batches: Iterator[pa.RecordBatch], vocabulary=vocabulary) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for row in b.to_pylist():
+                for row in (b.slice(i, 1).to_pylist()[0] for i in range(b.num_rows)):
                     seg = Segment(row["terms"], {}, 1.0, ends=row["ends"])
                     hits = [(i, seg.frequency(at)) for i, t in enumerate(vocabulary) if (at := seg.find(t)) is not None]
                     yield pa.record_batch([pa.array([h[0] for h in hits], pa.int64()), pa.array([h[1] for h in hits], pa.int64())], names=["t", "df"])
@@ -196,7 +197,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_
             best: dict = {i: [] for i in range(len(numbered))}
             counts = [0, 0]
             for b in batches:
-                for row in b.to_pylist():
+                for row in (b.slice(i, 1).to_pylist()[0] for i in range(b.num_rows)):
                     seg = Segment(row["terms"], idfs, average, row["ids"], **{c: row[c] for c in _ARRAYS})
                     for i, (_, q) in enumerate(numbered):
                         seg.search(q, best[i], k, counts)
