@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quirework.functions.text import cover_url, file_kind, strip
+from quirework.plans.staging import stage
 
 #: The columns of a catalog row.
 COLUMNS = ("title", "author", "description", "cover_img", "source_path", "stored_path", "file_name", "size", "file_type", "directory_entries", "created_at")
@@ -42,9 +43,13 @@ def insert_books(books: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def numbered(df: DataFrame, *order: Column) -> DataFrame:
-    """Adds _place, from 1, by an order of all rows; no partition holds more than its range of them."""
+    """Adds _place, from 1, by an order of all rows; no partition holds more than its range of them.
+
+    The ranges are written once: bounds come from a sample and small ranges are merged, so that a second run of the same
+    plan, for the counts, would have others.
+    """
     ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = ordered.withColumn("_row", F.monotonically_increasing_id())
+    placed = stage(ordered.withColumn("_row", F.monotonically_increasing_id()))
     counts = placed.groupBy(F.shiftright("_row", 33).alias("_p")).agg(F.count("*").alias("_n"))
     # One row for each partition
     before = counts.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))

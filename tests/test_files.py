@@ -271,3 +271,21 @@ def test_catalog(spark, tmp_path):
     parsed = spark.createDataFrame([(3, "P", "Q", None)], "id long, title string, author string, description string")
     assert catalog.enrich(c.books(), parsed).where("id = 3").first().author == "Q"
     assert c.books().select(catalog.default_cover(F.col("id"), F.col("cover_img"), F.col("stored_path")).alias("x")).where("x like '%id=3'").count() == 1
+
+
+@pytest.fixture
+def many(spark):
+    """Rows whose ranges are merged otherwise once a wide column is read, and their number."""
+    spark.conf.set("spark.sql.shuffle.partitions", 20)
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "100k")
+    n, key = 20_000, F.pmod(F.col("id") * 7919, F.lit(20_000))
+    yield spark.range(0, n, 1, 3).select(key.alias("id"), F.sha2(key.cast("string"), 512).alias("title"), F.format_string("/c/%09d", key).alias("stored_path"), (key % 40).cast("string").alias("created_at")), n
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+
+
+def test_catalog_insert_numbers_many(spark, many):
+    rows, n = many
+    books = catalog.migrate(spark.createDataFrame([(7, "A")], "id long, title string"))
+    got = catalog.insert_books(books, rows.drop("id").withColumn("created_at", F.lit("2030"))).select("id", "title", "stored_path").collect()
+    assert len(got) == n + 1 and {r.stored_path: r.id for r in got if r.stored_path} == {f"/c/{k:09d}": k + 8 for k in range(n)}
