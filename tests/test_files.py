@@ -289,3 +289,9 @@ def test_catalog_insert_numbers_many(spark, many):
     books = catalog.migrate(spark.createDataFrame([(7, "A")], "id long, title string"))
     got = catalog.insert_books(books, rows.drop("id").withColumn("created_at", F.lit("2030"))).select("id", "title", "stored_path").collect()
     assert len(got) == n + 1 and {r.stored_path: r.id for r in got if r.stored_path} == {f"/c/{k:09d}": k + 8 for k in range(n)}
+
+
+def test_catalog_list_numbers_many(many):
+    rows, n = many
+    got = {r.id: r.place for r in catalog.listed(catalog.migrate(rows)).select("id", "title", "place").collect()}
+    assert got == {i: k for k, i in enumerate(sorted(range(n), key=lambda i: (str(i % 40), i), reverse=True), 1)}
