@@ -89,6 +89,20 @@ def test_near_copies(spark, odd):
     assert near_copies.one_of_each(odd.limit(0)).count() == 0
 
 
+def test_chance_shingles(spark):
+    """Of rows with one shingle, those stay that may be similar to another one: all of these by brute force, and few others."""
+    import random
+
+    from quirework.llm import near_copies
+
+    r = random.Random(7)
+    rows = [(g, 1000 * g + k, r.randrange(n // 5 + 1), n) for g in range(300) for k in range(r.choice((1, 2, 2, 3, 9))) for n in [int(10 ** r.uniform(0.5, 4))]]
+    got = {tuple(x) for x in near_copies.with_partner(spark.createDataFrame(rows, "gram long, fold long, at int, n int").repartition(3), 80).collect()}
+    meet = [(x, y) for x in rows for y in rows if x[0] == y[0] and x[1] != y[1]]
+    need = {x for x, y in meet if min(x[3] - x[2], y[3] - y[2]) * 180 >= 80 * (x[3] + y[3])}
+    assert need <= got <= set(rows) and len(need) > 20 and len(got) < len({x for x, _ in meet}) / 2
+
+
 def test_token_counts(odd):
     model = public_tokenizers.path("piece_bpe_32k.model")
     counter = token_counts.PieceCounter(model)
