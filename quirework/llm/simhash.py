@@ -23,6 +23,16 @@ BITS = 64
 SEED = 42
 
 
+def votes(hashes: np.ndarray) -> int:
+    """The fingerprint of unsigned 64-bit hashes: a bit is 1 if it is set in over half of them."""
+    counts = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        bits = np.unpackbits(hashes[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        counts += bits.sum(axis=0, dtype=np.uint32)
+    on = np.packbits(counts * 2 > len(hashes), bitorder="little")
+    return int(on.view("<u8")[0])
+
+
 def fingerprint(text: str | None, shingle: int = 3) -> int:
     """Unsigned 64-bit SimHash of a whole text; 0 for null, empty and blank texts.
 
@@ -32,13 +42,7 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     if not parts:
         return 0
     grams = map(b" ".join, zip(*(parts[i:] for i in range(shingle)), strict=False)) if len(parts) >= shingle else [b" ".join(parts)]
-    hashes = np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64)
-    votes = np.zeros(BITS, np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        bits = np.unpackbits(hashes[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        votes += bits.sum(axis=0, dtype=np.uint32)
-    on = np.packbits(votes * 2 > len(hashes), bitorder="little")
-    return int(on.view("<u8")[0])
+    return votes(np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -59,6 +63,18 @@ def ball(fp: Column, radius: int) -> Column:
     return F.array(*[fp.bitwiseXOR(F.lit(m - (1 << BITS) if m >> 63 else m).cast("long")) for m in masks])
 
 
+def ball_links(distinct: DataFrame, radius: int = 2) -> DataFrame:
+    """(a, b): links within ``radius`` bits that connect all rows of ``distinct(fp)`` that are so near."""
+    met = distinct.select("fp", F.explode(ball(F.col("fp"), (radius + 1) // 2)).alias("variant"))
+    # All members of a variant's ball are linked through its smallest one only if that one is within the radius; at
+    # half of 2 any two members are. At radius 1 the check below drops what is not, and each pair meets at its own ends.
+    least = met.withColumn("b", F.min("fp").over(Window.partitionBy("variant"))) if radius == 2 else met.withColumn("b", F.col("variant"))
+    pairs = least.where("fp != b").select(F.col("fp").alias("a"), "b").distinct()
+    if radius == 1:
+        pairs = pairs.join(distinct.select(F.col("fp").alias("b")), "b", "left_semi")
+    return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
     """(id, fp, component_id) per row of ``docs``; component_id is the smallest id that links reach, its own included.
 
@@ -72,15 +88,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch = Scratch(spark, "simhash")
     fps = scratch.save(fingerprints(docs, id_col, text_col, shingle), "fps")
     distinct = scratch.save(fps.groupBy("fp").agg(F.min("id").alias("first_id")), "distinct")
-    met = distinct.select("fp", F.explode(ball(F.col("fp"), (radius + 1) // 2)).alias("variant"))
-    # All members of a variant's ball are linked through its smallest one only if that one is within the radius; at
-    # half of 2 any two members are. At radius 1 the check below drops what is not, and each pair meets at its own ends.
-    least = met.withColumn("b", F.min("fp").over(Window.partitionBy("variant"))) if radius == 2 else met.withColumn("b", F.col("variant"))
-    pairs = least.where("fp != b").select(F.col("fp").alias("a"), "b").distinct()
-    if radius == 1:
-        pairs = pairs.join(distinct.select(F.col("fp").alias("b")), "b", "left_semi")
-    links = pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
-    parts = connected_components(links, scratch)
+    parts = connected_components(ball_links(distinct, radius), scratch)
     named = distinct.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     named = scratch.save(named, "named")
     firsts = named.groupBy("component").agg(F.min("first_id").alias("component_id"))

@@ -89,6 +89,35 @@ def test_near_copies(spark, odd):
     assert near_copies.one_of_each(odd.limit(0)).count() == 0
 
 
+def test_near_copies_by_balls(spark):
+    """Sets whose SimHash fingerprints are within two bits, by brute force, are connected by the pairs that are verified first."""
+    import random
+
+    from quirework.llm import near_copies
+    from quirework.llm._common import connected_components
+
+    r = random.Random(9)
+    fps = [r.getrandbits(64) for _ in range(60)]
+    fps += [fps[r.randrange(60)] ^ sum(1 << b for b in r.sample(range(64), r.randrange(4))) for _ in range(120)]
+    rows = [(i, 9, fp - (1 << 64) if fp >> 63 else fp) for i, fp in enumerate(fps)]
+    group = list(range(len(fps)))
+    for a in range(len(fps)):
+        for b in range(a):
+            if (fps[a] ^ fps[b]).bit_count() <= 2:
+                group = [group[b] if g == group[a] else g for g in group]
+    firsts = [group.index(g) for g in group]
+    scratch = Scratch(spark, "balls")
+    pairs = near_copies.ball_pairs(spark.createDataFrame([*rows, (999, 0, 0)], "fold long, n int, fp long"), scratch)
+    got = {x.node: x.component for x in connected_components(pairs, scratch).collect()}
+    assert 999 not in got and [got.get(i, i) for i in range(len(fps))] == firsts and len(got) > 60
+    text = "A b c d e f g h b c d e f"
+    signed = near_copies.signatures(spark.createDataFrame([(1, text)], "_qw_key long, text string"), 5, 80, near_copies.np.zeros(0, "int64")).first()
+    words = text.lower().split()
+    distinct = {" ".join(words[k : k + 5]) for k in range(len(words) - 4)}
+    hashes = [near_copies.xxhash.xxh64_intdigest(g, 42) for g in distinct]
+    assert signed.fp % (1 << 64) == sum((2 * sum(h >> b & 1 for h in hashes) > len(hashes)) << b for b in range(64))
+
+
 def test_chance_shingles(spark):
     """Of rows with one shingle, those stay that may be similar to another one: all of these by brute force, and few others."""
     import random
