@@ -76,20 +76,30 @@ def bucket(h: Column, n_buckets: int) -> Column:
     return h.bitwiseAND(F.lit(n_buckets - 1)).cast("int")
 
 
-def trusted_ids(labels: DataFrame, most: int, fold: int | None = None, folds: int = 5, held: bool = False) -> DataFrame:
-    """At most ``most`` ids (by hash order) of documents labelled good and not toxic, of the counted or the held-out folds."""
+def trusted_ids(labels: DataFrame, folds: int = 5, held: bool = False) -> DataFrame:
+    """The ids of all documents labelled good and not toxic, of the counted or the held-out folds."""
     part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
     good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).where("q = 1 and coalesce(t, 0) = 0")
-    return good.where((part == 0) if held else (part != 0)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id")
+    return good.where((part == 0) if held else (part != 0)).select("doc_id")
+
+
+#: Ids, at most, that are broadcast to the documents; more of them are joined.
+FEW = 4_000_000
+
+
+def _spread(ids: DataFrame) -> DataFrame:
+    """``ids`` of a written table, broadcast if they are few."""
+    return F.broadcast(ids) if ids.count() <= FEW else ids
 
 
 def ratios(docs: DataFrame, trusted: DataFrame, scratch: Scratch, n_buckets: int, weight: float) -> DataFrame:
     """(bucket, ratio): log of target frequency against corpus frequency, shrunk towards 0 where the corpus has little.
 
-    Counts cover every document; they are written once, as both their totals and the ratios read them. ``trusted`` is
-    broadcast: its callers bound its rows. Without documents, or trusted ones, there is nothing to tell apart.
+    Counts cover every document, and every one of ``trusted``; they are written once, as both their totals and the
+    ratios read them. Without documents, or trusted ones, there is nothing to tell apart.
     """
-    flagged = docs.select(F.col("doc_id"), _text(F.col("text")).alias("_qw_t")).join(F.broadcast(trusted.withColumn("_qw_good", F.lit(1))), "doc_id", "left")
+    trusted = scratch.save(trusted, "trusted")
+    flagged = docs.select(F.col("doc_id"), _text(F.col("text")).alias("_qw_t")).join(_spread(trusted).withColumn("_qw_good", F.lit(1)), "doc_id", "left")
     every = _with_hashes(flagged).select("_qw_good", F.explode(grams()).alias("h"))
     counts = every.groupBy(bucket(F.col("h"), n_buckets).alias("bucket")).agg(F.count("*").alias("raw"), F.count("_qw_good").alias("target"))
     counts = scratch.save(counts, "counts")
@@ -107,14 +117,14 @@ def _score(hashes: Column, table: Column, n_buckets: int) -> Column:
 class QualityModel:
     """The ratios by bucket (a table of ``n_buckets`` rows at most) and the threshold."""
 
-    def __init__(self, docs: DataFrame, labels: DataFrame, scratch: Scratch, n_buckets: int = 1 << 16, most_trusted: int = 20_000, quantile: float = 0.005, margin: float = 0.1, weight: float = 5.0):
+    def __init__(self, docs: DataFrame, labels: DataFrame, scratch: Scratch, n_buckets: int = 1 << 16, quantile: float = 0.005, margin: float = 0.1, weight: float = 5.0):
         self.n_buckets = n_buckets
-        raw = ratios(docs, trusted_ids(labels, most_trusted), scratch, n_buckets, weight)
+        raw = ratios(docs, trusted_ids(labels), scratch, n_buckets, weight)
         self.table = scratch.save(raw, "ratios")
         listed = self._listed()
         #: A constant of the plan: Catalyst folds the cast into one array literal.
         self.array = F.split(F.lit(listed), ",").cast("array<int>")
-        held = F.broadcast(trusted_ids(labels, most_trusted, held=True))
+        held = _spread(scratch.save(trusted_ids(labels, held=True), "held"))
         scores = self.scored(docs.select("doc_id", "text").join(held, "doc_id", "left_semi")).select(F.col("_qw_llr").alias("llr"))
         low = scores.agg(F.percentile("llr", quantile)).first()[0]
         #: Without trusted documents nothing is rejected by score.

@@ -197,6 +197,23 @@ def test_quality(spark):
     assert all(got[i].kept for i in range(40)) and not any(got[i].kept for i in range(40, 53))
 
 
+def test_quality_counts_all_trusted(spark, monkeypatch):
+    """Over 20,000 trusted documents all count, and all held-out ones set the threshold, broadcast or joined."""
+    n = 60_000
+    docs = spark.range(0, n, 1, 4).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.col("id").cast("string")).alias("text"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    held = sum(zlib.crc32(str(i).encode()) % 5 == 0 for i in range(n))
+    assert quality.trusted_ids(labels).count() == n - held and quality.trusted_ids(labels, held=True).count() == held
+    totals = []
+    for few in (quality.FEW, 10):
+        monkeypatch.setattr(quality, "FEW", few)
+        scratch = Scratch(spark, "q")
+        model = quality.QualityModel(docs, labels, scratch, n_buckets=64)
+        counts = spark.read.parquet(scratch.path("counts"))
+        totals.append((*counts.agg(F.sum("raw"), F.sum("target")).first(), model.threshold))
+    assert totals[0][:2] == (2 * n, 2 * (n - held)) and totals[0] == totals[1]
+
+
 def test_quality_ratios(spark, tmp_path):
     """Scores and verdicts against brute force, with counts by n-gram instead of by bucket; odd rows, clashing names and empty tables."""
     import math
