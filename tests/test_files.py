@@ -295,3 +295,21 @@ def test_catalog_list_numbers_many(many):
     rows, n = many
     got = {r.id: r.place for r in catalog.listed(catalog.migrate(rows)).select("id", "title", "place").collect()}
     assert got == {i: k for k, i in enumerate(sorted(range(n), key=lambda i: (str(i % 40), i), reverse=True), 1)}
+
+
+def test_catalog_list_equals_its_sql(spark, many):
+    """On 150,000 orders: test_registered_queries_equal_their_sql has 1,500, which one range holds."""
+    import os
+
+    import duckdb
+
+    from quirework.plans.queries import ORACLES, QUERIES
+
+    sf = "/root/testdata/sf0.1"
+    if not os.path.isdir(sf):
+        pytest.skip("no tables")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{sf}/orders.parquet'")
+    want = con.execute(f"SELECT id, title, created_at, place FROM ({ORACLES['catalog_list']})").fetchall()
+    got = QUERIES["catalog_list"](spark, sf).select("id", "title", "created_at", "place").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
